@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give executors this package, once a context, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marlstone_shipped", None):
+        return
+    package = Path(__file__).resolve().parent.parent
+    # The driver serves this file to executors that start later, so it stays while the driver lives.
+    sc._marlstone_shipped = folder = tempfile.TemporaryDirectory(prefix="marlstone-")
+    path = f"{folder.name}/marlstone.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches handed to Python workers by rows and by bytes."""
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
