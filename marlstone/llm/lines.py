@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import checkpointed
+
 #: The rolling hash of two lines: (hash + BASE * hash of the line before) mod PRIME.
 WIDTH, DIVISOR, BASE, PRIME = 2, 4, 31, 1_000_003
 #: A chunk is removable from this many lines and words on, or as one line of LONG_WORDS words.
@@ -22,13 +24,17 @@ MIN_LINES, MIN_WORDS, LONG_WORDS = 2, 12, 40
 
 
 def chunk_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """key, text hash ``_h`` and the sorted array ``drop`` of (first, n) runs of lines to remove, for documents that lose any."""
-    own = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    """key, text hash ``_h`` and the sorted array ``drop`` of (first, n) runs of lines to remove, for documents that lose any.
+
+    ``docs`` has ``_h``, the hash of its text; key and text aren't null.
+    """
+    own = docs.select(F.col(key).alias("k"), "_h", F.col(text).alias("t"))
     split = F.split("t", "\n")
     # (key, text) names a document, so repeated rows are one document; lines go on as hashes and word counts.
     facts = F.transform(split, lambda x: F.struct(F.conv(F.substring(F.md5(x), 1, 12), 16, 10).cast("long").alias("h"), F.size(F.filter(F.split(x, "[ \\t\\r]+"), lambda w: w != "")).alias("w")))
     lines = own.select("k", "_h", F.posexplode(facts).alias("pos", "f")).groupBy("k", "_h", "pos").agg(F.first("f").alias("f")).select("k", "_h", "pos", "f.h", "f.w")
-    again = lines.where("w > 0").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.lit(True).alias("again"))
+    # Hot keys' own tables are materialised, so that each join below is a plain one, whose skewed partitions Spark splits.
+    again = checkpointed(lines.where("w > 0").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.lit(True).alias("again")))
     flagged = lines.join(again, "h", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     doc = Window.partitionBy("k", "_h").orderBy("pos")
     before = F.coalesce(F.lag("h").over(doc), F.lit(0))
@@ -39,13 +45,14 @@ def chunk_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     # A document's lines are already together, so this aggregation moves nothing.
     chunks = numbered.groupBy("k", "_h", "chunk").agg(F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("n"), F.sum("w").alias("w"), F.min("again").alias("again"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hs"))
     able = chunks.where(F.col("again") & ((F.col("n") >= min_lines) & (F.col("w") >= min_words) | (F.col("w") >= long_words)))
-    able = able.select("k", "_h", "first", "n", F.xxhash64(F.transform("hs", lambda x: x["h"])).alias("ch"))
-    twice = able.groupBy("ch").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ch")
+    able = checkpointed(able.select("k", "_h", "first", "n", F.xxhash64(F.transform("hs", lambda x: x["h"])).alias("ch")))
+    twice = checkpointed(able.groupBy("ch").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ch"))
     runs = able.join(twice, "ch", "left_semi").groupBy("k", "_h").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     # Byte comparison: chunks meet on their bytes, and the least (key, place) owns each text.
-    bodies = own.join(runs, ["k", "_h"]).select("k", "_h", F.explode("runs").alias("r"), F.split("t", "\n").alias("ls")).select("k", "_h", "r.first", "r.n", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.n")), "\n").alias("body"))
+    met = docs.join(runs.withColumnRenamed("k", key), [key, "_h"])
+    bodies = met.select(F.col(key).alias("k"), "_h", F.explode("runs").alias("r"), F.split(text, "\n").alias("ls")).select("k", "_h", "r.first", "r.n", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.n")), "\n").alias("body"))
     places = bodies.groupBy("k", "_h", "first", "n").agg(F.first("body").alias("body"))
-    owner = places.groupBy("body").agg(F.min(F.struct("k", "_h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    owner = places.groupBy("body").agg(F.min(F.struct("k", "_h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select("body", "o")
     lost = places.join(owner, "body").where(F.struct("k", "_h", "first") != F.col("o"))
     return lost.groupBy("k", "_h").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("drop"))
 
@@ -59,9 +66,13 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lin
     none.  Other columns pass through; columns of the names added are replaced.
     """
     added = ["n_lines", "n_removed_lines", "n_removed_chunks"]
-    base = docs.drop(*added)
-    verdicts = chunk_verdicts(base.where(F.col(key).isNotNull() & F.col(text).isNotNull()), key, text, min_lines, min_words, long_words)
-    out = base.withColumns({"_k": F.col(key), "_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(verdicts.withColumnRenamed("k", "_k"), ["_k", "_h"], "left")
+    base = docs.drop(*added).withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    judged = F.col(key).isNotNull() & F.col(text).isNotNull()
+    # The same exchange of (key, text, hash) serves the byte comparison and the removal.
+    some = base.where(judged)
+    verdicts = chunk_verdicts(some, key, text, min_lines, min_words, long_words).withColumnRenamed("k", key)
+    out = some.join(verdicts, [key, "_h"], "left").select(*base.columns, "drop")
+    out = out.union(base.where(~judged).withColumn("drop", F.lit(None).cast(out.schema["drop"].dataType)))
     ls = F.split(text, "\n")
     inside = lambda i: F.exists("drop", lambda r: (i >= r["first"]) & (i < r["first"] + r["n"]))
     left = F.array_join(F.filter(ls, lambda x, i: ~inside(i)), "\n")
@@ -71,4 +82,4 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lin
         "n_removed_lines": gone.cast("long"),
         "n_removed_chunks": F.coalesce(F.size("drop"), F.lit(0)).cast("long"),
         text: F.when(F.col("drop").isNull(), F.col(text)).otherwise(left),
-    }).drop("_k", "_h", "drop")
+    }).drop("_h", "drop")
