@@ -1,0 +1 @@
+"""Reserved: the dialect has no streaming statements, so no streaming operator exists."""
