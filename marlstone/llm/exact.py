@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -93,6 +94,16 @@ class PatriciaTrie:
                 yield prefix, node.value
             stack += [(c, prefix + c.label) for c in node.children.values() if c.file is None]
 
+    @staticmethod
+    def _files(node: _Node) -> Iterator:
+        stack = [node]
+        while stack:
+            for c in stack.pop().children.values():
+                if c.file is None:
+                    stack.append(c)
+                else:
+                    yield c.file
+
     def _spill(self) -> None:
         """Move the subtrees below the root's branches to files until a quarter of the bound is held."""
         node = self.root
@@ -112,6 +123,10 @@ class PatriciaTrie:
             spilled.file = tempfile.TemporaryFile()
             for entry in self._walk(child, prefix + child.label):
                 pickle.dump(entry, spilled.file)
+            for f in self._files(child):  # what it had spilled before
+                with f:
+                    f.seek(0)
+                    shutil.copyfileobj(f, spilled.file)
             node.children[branch] = _Node(child.label[:1])
             node.children[branch].file = spilled.file
             self.held = max(0, self.held - size)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
 from .urls import split_url
 
 #: A subtree is a template part from this many pages of different content, and this share of its host's, on.
@@ -222,7 +222,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     hosts = parts.where("tree is null").select("host", F.col("n").alias("of"))
     recurring = parts.where(F.col("tree").isNotNull() & (F.col("n") >= min_pages)).join(hosts, "host").where(F.col("n") >= min_share * F.col("of"))
     # At most (subtrees a page) / min_share hashes a host can reach the share.
-    templates = recurring.groupBy("host").agg(F.collect_list("tree").alias("trees"))
+    # Materialised, so that the join below is a plain one: Spark then splits a hot host's pages.
+    templates = checkpointed(recurring.groupBy("host").agg(F.collect_list("tree").alias("trees")))
 
     def read(batches):
         known: dict[tuple, frozenset] = {}

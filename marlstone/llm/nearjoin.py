@@ -30,8 +30,8 @@ from .shingles import mix, shingle_sets
 COLD, FAMILY = 24, 200
 #: Signatures gathered in a map task before they are dealt out.
 GATHER = 1 << 20
-#: Pivots of a family in one round, and bytes of all pivots' sets in one round.
-PIVOTS, PIVOT_BYTES = 32, 32 << 20
+#: Pivots of a family in its first and in any later round, and bytes of all pivots' sets in one round.
+FIRST, PIVOTS, PIVOT_BYTES = 64, 2048, 24 << 20
 
 _LOW, _HIGH = [1], [1]
 while _HIGH[-1] < 1 << 31:
@@ -279,20 +279,19 @@ def families(sets: DataFrame, met: DataFrame) -> DataFrame:
     return connected_components(strong.union(stars))
 
 
-def _union(n: int, links) -> list[int]:
-    root = list(range(n))
+def _find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def _union(n: int, links) -> list[int]:
+    root = list(range(n))
     for a, b in links:
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
+        a, b = _find(root, a), _find(root, b)
+        root[max(a, b)] = min(a, b)
+    return [_find(root, x) for x in range(n)]
 
 
 def _compare(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -377,14 +376,15 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFr
     while True:
         now = names.join(comps, "v")
         if tried is None:
-            picked = now.groupBy("root").agg(F.min("v").alias("v"))
+            rest, wanted = names, min(FIRST, pivots)
         else:
             sizes = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n"))
             largest = sizes.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("top")).select("root", F.col("top.comp").alias("top"))
-            rest = now.join(largest, "root").where("comp <> top").join(tried, "v", "left_anti").select("root", "v")
-            left = rest.groupBy("root").agg(F.count(F.lit(1)).alias("left"))
-            ticket = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-            picked = rest.join(left, "root").where((ticket * F.col("left") <= pivots) | (F.col("left") <= pivots)).select("root", "v")
+            rest, wanted = now.join(largest, "root").where("comp <> top").join(tried, "v", "left_anti").select("root", "v"), pivots
+        rest = checkpointed(rest)
+        left = rest.groupBy("root").agg(F.count(F.lit(1)).alias("left"))
+        ticket = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        picked = rest.join(left, "root").where((ticket * F.col("left") <= wanted) | (F.col("left") <= wanted)).select("root", "v")
         index: dict[int, list[tuple[int, np.ndarray]]] = {}
         size, taken = 0, []
         for r in picked.join(members.select("v", "f"), "v").toLocalIterator():
@@ -394,22 +394,22 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFr
             if size >= pivot_bytes:
                 break  # the others wait for a later round
         if not taken:
-            if tried is not None and rest.isEmpty():
-                return comps
-            if tried is None:
+            if rest.isEmpty():
                 return comps
-            taken = [(r.v,) for r in rest.limit(1).collect()]  # no ticket was low enough: any one will do
-            for r in members.join(spark.createDataFrame(taken, "v long"), "v").collect():
-                index.setdefault(r.root, []).append((r.v, np.frombuffer(bytes(r.f), np.uint64)))
+            first = rest.groupBy("root").agg(F.min("v").alias("v")).limit(1)  # no ticket was low enough: any one will do
+            for r in members.select("v", "f").join(first, "v").toLocalIterator():
+                index[r.root] = [(r.v, np.frombuffer(bytes(r.f), np.uint64))]
+                taken.append((r.v,))
         shared = spark.sparkContext.broadcast(index)
 
         def probe(batches, shared=shared):
-            flat = {}
+            flat, up = {}, {}
             for root, own in shared.value.items():
                 values = np.concatenate([f for _, f in own])
                 who = np.repeat(np.arange(len(own)), [len(f) for _, f in own])
                 order = np.argsort(values, kind="stable")
                 flat[root] = values[order], who[order], np.array([len(f) for _, f in own]), np.array([v for v, _ in own])
+                up[root] = list(range(len(own)))
             for b in batches:
                 us, vs = [], []
                 for r, v, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -417,12 +417,21 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFr
                         continue
                     u = np.frombuffer(f, np.uint64)
                     values, who, n, pivot = flat[r]
-                    place = np.minimum(np.searchsorted(u, values), len(u) - 1)
-                    inter = np.bincount(who[u[place] == values], minlength=len(n))
-                    for p in pivot[linked(inter, len(u), n)]:
+                    a, z = np.searchsorted(values, u), np.searchsorted(values, u, "right")
+                    span = z - a
+                    at = np.repeat(a - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(span.sum())
+                    inter = np.bincount(who[at], minlength=len(n))
+                    near = np.flatnonzero(linked(inter, len(u), n)).tolist()
+                    # A class links to one of its pivots; that these are all connected is told once a task.
+                    for p in near[1:]:
+                        x, y = _find(up[r], near[0]), _find(up[r], p)
+                        up[r][max(x, y)] = min(x, y)
+                    if near:
                         us.append(v)
-                        vs.append(int(p))
+                        vs.append(int(pivot[near[0]]))
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            tree = [(int(flat[r][3][x]), int(flat[r][3][y])) for r, ups in up.items() for x, y in enumerate(ups) if x != y]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([y for _, y in tree], pa.int64())], names=["u", "v"])
 
         links = members.mapInArrow(probe, "u long, v long").where("u <> v")
         joined = connected_components(links.union(comps.select(F.col("v").alias("u"), F.col("comp").alias("v"))))
@@ -444,11 +453,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold:
     met = checkpointed(_candidates(_signatures(docs.where(F.col(key).isNotNull()), text), cold))
     classes = own.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("rep"))
     fams = checkpointed(families(own, met).join(classes.groupBy(F.col("h1").alias("v")).agg(F.min("rep").alias("rep")), "v"))
-    sizes = fams.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > family).select("root")
-    large = fams.join(sizes, "root", "left_semi")
-    comps = _small_families(_members(docs, key, text, fams.join(sizes, "root", "left_anti")))
-    if not sizes.isEmpty():
-        comps = comps.union(_large_families(_members(docs, key, text, large), pivots, pivot_bytes))
+    members = checkpointed(_members(docs, key, text, fams))
+    wide = checkpointed(fams.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > family).select("root"))
+    comps = _small_families(members.join(wide, "root", "left_anti"))
+    if not wide.isEmpty():
+        comps = comps.union(_large_families(members.join(wide, "root", "left_semi"), pivots, pivot_bytes))
     comps = checkpointed(comps)
     named = comps.join(fams.select("v", "rep"), "v")
     least = named.groupBy("comp").agg(F.min("rep").alias("component"))
