@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks of lines.
 
 Lines are hashed, and a rolling hash over the last ``WIDTH`` line hashes ends a
-chunk where it falls on a multiple of ``DIVISOR``.  A chunk also ends where lines
+chunk where it falls on a multiple of ``DIVISOR`` (never twice in a row, nor at
+the first or last line of a run).  A chunk also ends where lines
 that occur once in the corpus meet lines that occur again.  Both depend on
 content alone, so an inserted line shifts no later boundary, and a repeated
 passage is cut the same way wherever it stands.  Chunks of several lines, or of
@@ -39,7 +40,10 @@ def chunk_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     doc = Window.partitionBy("k", "_h").orderBy("pos")
     before = F.coalesce(F.lag("h").over(doc), F.lit(0))
     rolled = (F.col("h") + before * F.lit(BASE)) % F.lit(PRIME) % F.lit(DIVISOR) == 0
-    ends = flagged.withColumn("cut", rolled)
+    # A cut needs a line of its own kind on either side and no cut candidate just before, so that no chunk inside a run is a single line.
+    near = lambda f: F.coalesce(f("again").over(doc) == F.col("again"), F.lit(False))
+    rolls = flagged.withColumn("roll", rolled)
+    ends = rolls.withColumn("cut", F.col("roll") & ~F.coalesce(F.lag("roll").over(doc), F.lit(False)) & near(F.lag) & near(F.lead))
     starts = F.coalesce(F.lag("cut").over(doc), F.lit(True)) | (F.lag("again").over(doc) != F.col("again"))
     numbered = ends.withColumn("chunk", F.sum(starts.cast("int")).over(doc))
     # A document's lines are already together, so this aggregation moves nothing.

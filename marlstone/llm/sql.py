@@ -83,7 +83,8 @@ l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line, ('0x' || substr(md5(ls[i + 1])
              len(list_filter(regexp_split_to_array(ls[i + 1], '[ \t\r]+'), lambda w: w <> '')) AS w
       FROM d, LATERAL (SELECT unnest(range(len(ls))) AS i)),
 f AS (SELECT l.*, w > 0 AND count(*) OVER (PARTITION BY h) > 1 AS again FROM l),
-c AS (SELECT *, (h + coalesce(lag(h) OVER q, 0) * 31) % 1000003 % 4 = 0 AS cut, lag(again) OVER q AS past FROM f WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT *, (h + coalesce(lag(h) OVER q, 0) * 31) % 1000003 % 4 = 0 AS roll, lag(again) OVER q AS past, lead(again) OVER q AS future FROM f WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (SELECT *, roll AND NOT coalesce(lag(roll) OVER (PARTITION BY doc_id ORDER BY pos), false) AND coalesce(past = again, false) AND coalesce(future = again, false) AS cut FROM r),
 b AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), true) OR past <> again AS starts FROM c),
 n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk FROM b),
 k AS (SELECT doc_id, chunk, min(pos) AS first, count(*) AS n, sum(w) AS w, bool_and(again) AS again, string_agg(line, chr(10) ORDER BY pos) AS body FROM n GROUP BY doc_id, chunk),
