@@ -40,10 +40,10 @@ def chunk_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     doc = Window.partitionBy("k", "_h").orderBy("pos")
     before = F.coalesce(F.lag("h").over(doc), F.lit(0))
     rolled = (F.col("h") + before * F.lit(BASE)) % F.lit(PRIME) % F.lit(DIVISOR) == 0
-    # A cut needs a line of its own kind on either side and no cut candidate just before, so that no chunk inside a run is a single line.
-    near = lambda f: F.coalesce(f("again").over(doc) == F.col("again"), F.lit(False))
-    rolls = flagged.withColumn("roll", rolled)
-    ends = rolls.withColumn("cut", F.col("roll") & ~F.coalesce(F.lag("roll").over(doc), F.lit(False)) & near(F.lag) & near(F.lead))
+    # A cut needs a line of its own kind before it, two after it, and no cut candidate just before in its run, so that no chunk inside a run is a single line.
+    near = lambda f, n=1: F.coalesce(f("again", n).over(doc) == F.col("again"), F.lit(False))
+    rolls = flagged.withColumn("roll", rolled & near(F.lag))
+    ends = rolls.withColumn("cut", F.col("roll") & ~F.coalesce(F.lag("roll").over(doc), F.lit(False)) & near(F.lead) & near(F.lead, 2))
     starts = F.coalesce(F.lag("cut").over(doc), F.lit(True)) | (F.lag("again").over(doc) != F.col("again"))
     numbered = ends.withColumn("chunk", F.sum(starts.cast("int")).over(doc))
     # A document's lines are already together, so this aggregation moves nothing.
