@@ -48,7 +48,7 @@ def test_filters(engine):
     assert rows(engine.query("SELECT c FROM t WHERE 5 > c")) == [(-5,), (0,)]
     assert rows(engine.query("SELECT c FROM t WHERE c != 5 AND c > -6")) == [(-5,), (0,), (9,)]
     assert rows(engine.query("SELECT c FROM t WHERE c = d")) == [(-5,), (5,)]
-    assert rows(engine.query("SELECT x FROM s WHERE x = 'it''s' OR x = '(,)' OR x = ''")) == [("",), ("(,)",), ("it's",)]
+    assert set(rows(engine.query("SELECT x FROM s WHERE x = 'it''s' OR x = '(,)' OR x = ''"))) == {("",), ("(,)",), ("it's",)}
     assert len(rows(engine.query("SELECT * FROM t WHERE 1 = 2"))) == 0
 
 
