@@ -11,6 +11,11 @@ from .common import checkpointed
 EDGES = 200_000
 
 
+def partitions_for(rows: int) -> int:
+    """Partitions for a narrow table of so many rows."""
+    return max(4, rows // EDGES + 1)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (u, v: long); root is the component's least vertex.
 
@@ -22,15 +27,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.where("u <> v").select(hi.alias("u"), lo.alias("v")).distinct())
     mark = _mark(now)
     while True:
-        now = now.coalesce(max(4, mark[0] // EDGES + 1))  # few edges don't need all partitions
+        few = partitions_for(mark[0])  # few edges don't need all partitions, nor a file in each
+        now = now.coalesce(few)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: a vertex's larger neighbours move to its least neighbour.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
         # Small star: its smaller neighbours, and it itself, move to the least of them.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = checkpointed(small)
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(few).distinct()
+        now = checkpointed(small.coalesce(few))
         before, mark = mark, _mark(now)
         if mark == before:
             break

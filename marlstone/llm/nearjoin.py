@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches, utf8
-from .components import connected_components
+from .components import connected_components, partitions_for
 from .shingles import mix, shingle_sets
 
 #: Most classes of a signature whose pairs are all candidates; most classes of a family that one task compares.
@@ -32,6 +32,8 @@ COLD, FAMILY = 24, 200
 GATHER = 1 << 20
 #: Pivots of a family in its first and in any later round, and bytes of all pivots' sets in one round.
 FIRST, PIVOTS, PIVOT_BYTES = 64, 2048, 24 << 20
+#: Most pivots whose names are broadcast to find their sets (16 bytes each); beyond, the sets are joined.
+NAMED = 1 << 17
 
 _LOW, _HIGH = [1], [1]
 while _HIGH[-1] < 1 << 31:
@@ -317,7 +319,7 @@ def _compare(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _members(docs: DataFrame, key: str, text: str, chosen: DataFrame) -> DataFrame:
-    """(root, v, n, f: sorted hashes) of the classes in ``chosen`` (v, root, rep), read again from their representatives' texts."""
+    """(root, v, n, f: sorted hashes, wide) of the classes in ``chosen`` (v, root, rep, wide), read again from their representatives' texts."""
 
     def read(batches):
         for b in batches:
@@ -328,10 +330,10 @@ def _members(docs: DataFrame, key: str, text: str, chosen: DataFrame) -> DataFra
                     sizes.append(len(u))
                     bodies.append(u.tobytes())
             part = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=["root", "v", "n", "f"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), part.column(3)], names=["root", "v", "n", "f", "wide"])
 
-    rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(chosen, "rep").select("root", "v", "t")
-    return rows.mapInArrow(read, "root long, v long, n long, f binary")
+    rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(chosen, "rep").select("root", "v", "t", "wide")
+    return rows.mapInArrow(read, "root long, v long, n long, f binary, wide boolean")
 
 
 def _small_families(members: DataFrame) -> DataFrame:
@@ -369,8 +371,9 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFr
     every pair of different components has been compared.
     """
     spark = members.sparkSession
-    members = checkpointed(members.dropDuplicates(["v"]))
-    names = members.select("root", "v")
+    names = checkpointed(members.select("root", "v").distinct())  # a representative's rows may repeat
+    few = partitions_for(names.count())  # tables of one short row a class need few partitions
+    names = names.coalesce(few)
     comps = names.select("v", F.col("v").alias("comp"))
     tried = None
     while True:
@@ -378,16 +381,21 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFr
         if tried is None:
             rest, wanted = names, min(FIRST, pivots)
         else:
-            sizes = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n"))
+            sizes = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n")).coalesce(few)
             largest = sizes.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("top")).select("root", F.col("top.comp").alias("top"))
             rest, wanted = now.join(largest, "root").where("comp <> top").join(tried, "v", "left_anti").select("root", "v"), pivots
-        rest = checkpointed(rest)
+        rest = checkpointed(rest.coalesce(few)) if tried is not None else rest
         left = rest.groupBy("root").agg(F.count(F.lit(1)).alias("left"))
         ticket = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        picked = rest.join(left, "root").where((ticket * F.col("left") <= wanted) | (F.col("left") <= wanted)).select("root", "v")
+        picked = checkpointed(rest.join(left, "root").where((ticket * F.col("left") <= wanted) | (F.col("left") <= wanted)).select("root", "v").coalesce(few))
+        wide = picked.count() > NAMED
         index: dict[int, list[tuple[int, np.ndarray]]] = {}
         size, taken = 0, []
-        for r in picked.join(members.select("v", "f"), "v").toLocalIterator():
+        known: set[int] = set()
+        for r in members.select("v", "f").join(picked if wide else F.broadcast(picked), "v").toLocalIterator():
+            if r.v in known:
+                continue
+            known.add(r.v)
             index.setdefault(r.root, []).append((r.v, np.frombuffer(bytes(r.f), np.uint64)))
             taken.append((r.v,))
             size += len(r.f)
@@ -397,7 +405,7 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFr
             if rest.isEmpty():
                 return comps
             first = rest.groupBy("root").agg(F.min("v").alias("v")).limit(1)  # no ticket was low enough: any one will do
-            for r in members.select("v", "f").join(first, "v").toLocalIterator():
+            for r in members.select("v", "f").join(F.broadcast(first), "v").toLocalIterator():
                 index[r.root] = [(r.v, np.frombuffer(bytes(r.f), np.uint64))]
                 taken.append((r.v,))
         shared = spark.sparkContext.broadcast(index)
@@ -435,9 +443,9 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFr
 
         links = members.mapInArrow(probe, "u long, v long").where("u <> v")
         joined = connected_components(links.union(comps.select(F.col("v").alias("u"), F.col("comp").alias("v"))))
-        comps = checkpointed(comps.select("v", F.col("comp").alias("_c")).join(joined.select("v", "root"), "v", "left").select("v", F.coalesce("root", "_c").alias("comp")))
+        comps = checkpointed(comps.select("v", F.col("comp").alias("_c")).join(joined.select("v", "root"), "v", "left").select("v", F.coalesce("root", "_c").alias("comp")).coalesce(few))
         done = spark.createDataFrame(taken, "v long")
-        tried = checkpointed(done if tried is None else tried.union(done))
+        tried = checkpointed((done if tried is None else tried.union(done)).coalesce(few))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold: int = COLD, family: int = FAMILY, pivots: int = PIVOTS, pivot_bytes: int = PIVOT_BYTES) -> DataFrame:
@@ -453,11 +461,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold:
     met = checkpointed(_candidates(_signatures(docs.where(F.col(key).isNotNull()), text), cold))
     classes = own.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("rep"))
     fams = checkpointed(families(own, met).join(classes.groupBy(F.col("h1").alias("v")).agg(F.min("rep").alias("rep")), "v"))
-    members = checkpointed(_members(docs, key, text, fams))
-    wide = checkpointed(fams.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > family).select("root"))
-    comps = _small_families(members.join(wide, "root", "left_anti"))
+    # Families are told apart by size before their sets are read, so that no set moves for it.
+    wide = checkpointed(fams.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > family).select("root", F.lit(True).alias("wide")))
+    chosen = fams.join(wide, "root", "left").select("root", "v", "rep", F.coalesce("wide", F.lit(False)).alias("wide"))
+    members = checkpointed(_members(docs, key, text, chosen))
+    comps = _small_families(members.where("not wide").drop("wide"))
     if not wide.isEmpty():
-        comps = comps.union(_large_families(members.join(wide, "root", "left_semi"), pivots, pivot_bytes))
+        comps = comps.union(_large_families(members.where("wide").drop("wide"), pivots, pivot_bytes))
     comps = checkpointed(comps)
     named = comps.join(fams.select("v", "rep"), "v")
     least = named.groupBy("comp").agg(F.min("rep").alias("component"))
