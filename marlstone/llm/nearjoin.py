@@ -444,6 +444,9 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFr
         links = members.mapInArrow(probe, "u long, v long").where("u <> v")
         joined = connected_components(links.union(comps.select(F.col("v").alias("u"), F.col("comp").alias("v"))))
         comps = checkpointed(comps.select("v", F.col("comp").alias("_c")).join(joined.select("v", "root"), "v", "left").select("v", F.coalesce("root", "_c").alias("comp")).coalesce(few))
+        # The links are behind that checkpoint, so nothing needs this round's pivots again; driver and executors let go of them.
+        shared.destroy()
+        index.clear()
         done = spark.createDataFrame(taken, "v long")
         tried = checkpointed((done if tried is None else tried.union(done)).coalesce(few))
 
