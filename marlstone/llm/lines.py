@@ -56,7 +56,8 @@ def chunk_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     met = docs.join(runs.withColumnRenamed("k", key), [key, "_h"])
     bodies = met.select(F.col(key).alias("k"), "_h", F.explode("runs").alias("r"), F.split(text, "\n").alias("ls")).select("k", "_h", "r.first", "r.n", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.n")), "\n").alias("body"))
     places = bodies.groupBy("k", "_h", "first", "n").agg(F.first("body").alias("body"))
-    owner = places.groupBy("body").agg(F.min(F.struct("k", "_h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select("body", "o")
+    # Grouped by the digest too, owners are dealt anew for the join, which is then a plain one: Spark splits a hot chunk's places.
+    owner = places.groupBy(F.md5("body").alias("_d"), "body").agg(F.min(F.struct("k", "_h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select("body", "o")
     lost = places.join(owner, "body").where(F.struct("k", "_h", "first") != F.col("o"))
     return lost.groupBy("k", "_h").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("drop"))
 
