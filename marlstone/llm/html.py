@@ -25,6 +25,8 @@ from .urls import split_url
 
 #: A subtree is a template part from this many pages of different content, and this share of its host's, on.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: Most hashes and hosts of a template table that is broadcast (8 bytes, and some 60); beyond, pages meet it in a sort-merge join.
+BROADCAST_TREES, BROADCAST_HOSTS = 1 << 20, 1 << 17
 
 # Element names of the HTML standard by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,7 +203,7 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_trees: int = BROADCAST_TREES) -> DataFrame:
     """key, url, text and n_chars of every page.
 
     Null html gives empty text.  Pages with a null or malformed url make up one
@@ -222,7 +224,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     hosts = parts.where("tree is null").select("host", F.col("n").alias("of"))
     recurring = parts.where(F.col("tree").isNotNull() & (F.col("n") >= min_pages)).join(hosts, "host").where(F.col("n") >= min_share * F.col("of"))
     # At most (subtrees a page) / min_share hashes a host can reach the share.
-    # Materialised, so that the join below is a plain one: Spark then splits a hot host's pages.
+    # Materialised: its size decides how pages meet it, and a sort-merge join with it is a plain one, where Spark splits a hot host's pages.
     templates = checkpointed(recurring.groupBy("host").agg(F.collect_list("tree").alias("trees")))
 
     def read(batches):
@@ -237,5 +239,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["k", "u", "text", "n_chars"])
 
     kind = dict(pages.dtypes)
-    joined = rows.join(templates, "host", "left").select("k", "u", "x", "trees")
+    size = templates.agg(F.count(F.lit(1)).alias("hosts"), F.sum(F.size("trees")).alias("trees")).head()
+    few = size.hosts <= BROADCAST_HOSTS and (size.trees or 0) <= broadcast_trees
+    joined = rows.join(templates.hint("broadcast" if few else "merge"), "host", "left").select("k", "u", "x", "trees")
     return joined.mapInArrow(read, f"k {kind[key]}, u string, text string, n_chars long").select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars")

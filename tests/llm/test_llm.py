@@ -60,8 +60,9 @@ def test_html():
 
 def test_html_templates(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div><span>same words</span></div><div><p>own {i}</p></div></body>") for i in range(8)] + [(9, None, None), (10, "x", "")]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {**{i: f"own {i}" for i in range(8)}, 9: "", 10: ""}
+    for most in (html.BROADCAST_TREES, 0):
+        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_trees=most).collect()}
+        assert got == {**{i: f"own {i}" for i in range(8)}, 9: "", 10: ""}
 
 
 def test_urls(spark):
