@@ -8,6 +8,10 @@ content alone, so an inserted line shifts no later boundary, and a repeated
 passage is cut the same way wherever it stands.  Chunks of several lines, or of
 ``LONG_WORDS`` words or more, that occur again with the same bytes are removed
 everywhere but at their first place.
+
+Lines without words are no lines of a run: boundaries, line counts and word
+counts come from the others alone.  Those inside a chunk are part of its bytes,
+and those between two chunks of a run of recurring lines go with the first.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ def chunk_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     lines = own.select("k", "_h", F.posexplode(facts).alias("pos", "f")).groupBy("k", "_h", "pos").agg(F.first("f").alias("f")).select("k", "_h", "pos", "f.h", "f.w")
     # Hot keys' own tables are materialised, so that each join below is a plain one, whose skewed partitions Spark splits.
     again = checkpointed(lines.where("w > 0").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.lit(True).alias("again")))
-    flagged = lines.join(again, "h", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    flagged = lines.where("w > 0").join(again, "h", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     doc = Window.partitionBy("k", "_h").orderBy("pos")
     before = F.coalesce(F.lag("h").over(doc), F.lit(0))
     rolled = (F.col("h") + before * F.lit(BASE)) % F.lit(PRIME) % F.lit(DIVISOR) == 0
@@ -45,16 +49,18 @@ def chunk_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     rolls = flagged.withColumn("roll", rolled & near(F.lag))
     ends = rolls.withColumn("cut", F.col("roll") & ~F.coalesce(F.lag("roll").over(doc), F.lit(False)) & near(F.lead) & near(F.lead, 2))
     starts = F.coalesce(F.lag("cut").over(doc), F.lit(True)) | (F.lag("again").over(doc) != F.col("again"))
-    numbered = ends.withColumn("chunk", F.sum(starts.cast("int")).over(doc))
+    # Where removal ends: before the run's next line, so that lines without words go too, or after the run's last line.
+    until = F.when(near(F.lead), F.lead("pos").over(doc)).otherwise(F.col("pos") + 1)
+    numbered = ends.withColumns({"chunk": F.sum(starts.cast("int")).over(doc), "until": until})
     # A document's lines are already together, so this aggregation moves nothing.
-    chunks = numbered.groupBy("k", "_h", "chunk").agg(F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("n"), F.sum("w").alias("w"), F.min("again").alias("again"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hs"))
-    able = chunks.where(F.col("again") & ((F.col("n") >= min_lines) & (F.col("w") >= min_words) | (F.col("w") >= long_words)))
-    able = checkpointed(able.select("k", "_h", "first", "n", F.xxhash64(F.transform("hs", lambda x: x["h"])).alias("ch")))
+    chunks = numbered.groupBy("k", "_h", "chunk").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("lines"), (F.max("until") - F.min("pos")).alias("n"), (F.max("pos") - F.min("pos") + 1).alias("size"), F.sum("w").alias("w"), F.min("again").alias("again"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hs"))
+    able = chunks.where(F.col("again") & ((F.col("lines") >= min_lines) & (F.col("w") >= min_words) | (F.col("w") >= long_words)))
+    able = checkpointed(able.select("k", "_h", "first", "n", "size", F.xxhash64(F.transform("hs", lambda x: x["h"])).alias("ch")))
     twice = checkpointed(able.groupBy("ch").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ch"))
-    runs = able.join(twice, "ch", "left_semi").groupBy("k", "_h").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    runs = able.join(twice, "ch", "left_semi").groupBy("k", "_h").agg(F.collect_list(F.struct("first", "n", "size")).alias("runs"))
     # Byte comparison: chunks meet on their bytes, and the least (key, place) owns each text.
     met = docs.join(runs.withColumnRenamed("k", key), [key, "_h"])
-    bodies = met.select(F.col(key).alias("k"), "_h", F.explode("runs").alias("r"), F.split(text, "\n").alias("ls")).select("k", "_h", "r.first", "r.n", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.n")), "\n").alias("body"))
+    bodies = met.select(F.col(key).alias("k"), "_h", F.explode("runs").alias("r"), F.split(text, "\n").alias("ls")).select("k", "_h", "r.first", "r.n", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.size")), "\n").alias("body"))
     places = bodies.groupBy("k", "_h", "first", "n").agg(F.first("body").alias("body"))
     # Grouped by the digest too, owners are dealt anew for the join, which is then a plain one: Spark splits a hot chunk's places.
     owner = places.groupBy(F.md5("body").alias("_d"), "body").agg(F.min(F.struct("k", "_h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select("body", "o")

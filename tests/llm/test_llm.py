@@ -200,3 +200,18 @@ def test_line_dedup(spark):
     assert got[0].text is None and got[1].text == "" and got[2].text == "one line" and got[3].text == texts[3]
     for i in (4, 5, 6):
         assert got[i].text == texts[i].replace(passage + "\n", "") and got[i].n_removed_lines == 6
+
+
+def test_line_dedup_blank_lines(spark):
+    rng = random.Random(6)
+    for n, words in ((3, 25), (5, 35)):
+        own = [prose(rng, words) for _ in range(n)]
+        passage = "\n\n".join(own)
+        texts = [f"{prose(rng, 20)}\n\n{passage}\n \n{prose(rng, 20)}" for _ in range(4)]
+        got = {r.doc_id: r for r in lines.line_dedup(docs(spark, texts)).collect()}
+        assert got[0].text == texts[0]
+        for i in (1, 2, 3):
+            assert got[i].text == texts[i].replace(passage + "\n", "") and got[i].n_removed_lines == 2 * n - 1
+    # A line of few words is no passage for the blank lines around it.
+    short = [f"{prose(rng, 20)}\n\n{own[0][:60]}\n\n{prose(rng, 20)}" for _ in range(4)]
+    assert {r.doc_id: r.text for r in lines.line_dedup(docs(spark, short)).collect()} == dict(enumerate(short))
