@@ -11,7 +11,9 @@ Signatures that up to ``COLD`` classes share give candidate pairs, counted and
 kept only if they share as many as a linked pair must.  A pair escapes those only
 if both its classes have so many empty or more widely shared parts that these
 could be all they agree on; such classes are candidates by the shared signatures
-themselves, each with its group's least class, and whole candidate families are
+themselves, each with its group's least class.  Empty parts have no signature, so
+a class with so many that these could be all it agrees on is signed by each of
+its shingles too, and shares one with any linked class.  Whole candidate families are
 compared, so that no linked pair is missed and no group is expanded into pairs.
 """
 
@@ -35,6 +37,9 @@ FIRST, PIVOTS, PIVOT_BYTES = 64, 2048, 24 << 20
 #: Most pivots whose names are broadcast to find their sets (16 bytes each); beyond, the sets are joined.
 NAMED = 1 << 17
 
+#: In place of the instance: a signature of one shingle, of a class whose empty parts alone could be what it agrees on.
+DIRECT = 127
+
 _LOW, _HIGH = [1], [1]
 while _HIGH[-1] < 1 << 31:
     _LOW.append(_HIGH[-1] + 1)
@@ -159,6 +164,8 @@ def _signatures(docs: DataFrame, text: str) -> DataFrame:
                         p, at = _partition(u, parts(i))
                         s = mix(np.add.reduceat(v, at) + mix(p * np.uint64(128) + np.uint64(i)))
                         own.append((s & np.uint64(_ALL_BUT_7)) | np.uint64(i))
+                        if parts(i) - len(p) >= slack(len(u), i):
+                            own.append(mix(v ^ np.uint64(i)) | np.uint64(DIRECT))
                 if not own:
                     continue
                 sigs.append(np.concatenate(own))
@@ -220,8 +227,8 @@ def _candidates(packed: DataFrame, cold: int) -> DataFrame:
             i, j = np.triu_indices(g, 1)
             a, b = (rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()
             na, nb = ref["n"][a].astype(np.int64), ref["n"][b].astype(np.int64)
-            # A pair counts in its lower band's instance only, and if its sizes allow a link.
-            ok = (np.minimum(bands[a], bands[b]) == inst[a]) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+            # A pair counts in its lower band's instance only (by single shingles, in either), and if its sizes allow a link.
+            ok = ((np.minimum(bands[a], bands[b]) == inst[a]) | (inst[a] == DIRECT)) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
             found.append((a[ok], b[ok]))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
@@ -248,8 +255,8 @@ def _slices(schema: pa.Schema, cols: list[np.ndarray], rows: int = 65536):
 
 
 def _numbers(spark: SparkSession) -> DataFrame:
-    """Per band: its highest size and its instance's parts (some eighty rows)."""
-    return spark.createDataFrame([(i, _HIGH[i], parts(i)) for i in range(len(_HIGH))], "inst long, high long, parts long")
+    """Per band: its highest size and its instance's parts (some ninety rows); with no parts, one shared single shingle is due."""
+    return spark.createDataFrame([*((i, _HIGH[i], parts(i)) for i in range(len(_HIGH))), (DIRECT, 0, 0)], "inst long, high long, parts long")
 
 
 def families(sets: DataFrame, met: DataFrame) -> DataFrame:

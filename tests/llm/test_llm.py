@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, contamination, exact, html, language, lines, nearjoin, packing, shards, urls
+from marlstone.llm import chat, contamination, exact, html, language, lines, nearjoin, packing, shards, shingles, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,6 +51,29 @@ def test_jaccard_join(spark, knobs):
     assert nearjoin.jaccard_join(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("knobs", [{}, {"cold": 1}])
+def test_jaccard_join_in_differing_parts(spark, knobs):
+    """Linked sets whose shared shingles all lie in parts in which they differ."""
+    rng, texts = random.Random(7), []
+
+    def part(words, n):
+        (u,) = shingles.shingle_sets(np.frombuffer(" ".join(words[-5:]).encode(), np.uint8), np.array([0, len(" ".join(words[-5:]))]))
+        return int(nearjoin._partition(u, n)[0][0])
+
+    for n in range(4, 21):
+        k, m = nearjoin.parts(nearjoin.band(n)), n * 5 // 4
+        words = [f"{n}a{i}" for i in range(4)]
+        for i in range(m):  # the last m - n shingles are what the longer text has more, one in each of the shared ones' parts
+            wanted = [i - n] if i >= n else range(m - n)
+            while part([*words, w := f"w{rng.randrange(1 << 40)}"], k) not in wanted:
+                pass
+            words.append(w)
+        texts += [" ".join(words[: n + 4]), " ".join(words)]
+    sizes, roots = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nearjoin.jaccard_join(docs(spark, texts), **knobs).collect()}
+    assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))} and roots[1::2] == list(range(0, len(texts), 2))
+
+
 def test_html():
     page = '<body><nav>menu</nav><div class="cookie-notice">x</div><article><h1>T &amp; t</h1><p><b>a\n b<br><p>c<script>var p="</p>"</script></p><section id="comments"><p>reader</p></section></article><footer>f</footer>'
     assert html.main_text(page) == "T & t\n\na b\n\nc"
