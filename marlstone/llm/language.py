@@ -9,7 +9,9 @@ as a table of code lengths by (context, byte), and a text's exact code length
 under every language is one gather and sum.
 
 Bytes are those of the lower-cased text.  The ``SYMBOLS`` - 1 most frequent ones
-of the training sample have symbols of their own; all others share one.
+of the training sample have symbols of their own; all others share one, and
+after it a second code, of order 0 with the same escape to a uniform order -1,
+tells which byte it is.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ class Model:
     langs: list[str]
     symbol: np.ndarray  # byte -> symbol
     table: np.ndarray  # code lengths in 1 / UNIT bits: [language, context * SYMBOLS + symbol], uint16
+    rest: np.ndarray  # what a byte costs after its symbol, in 1 / UNIT bits: [language, byte]; 0 for bytes with a symbol of their own
 
     def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code lengths in bits, [text, language]; ``off`` are n + 1 byte offsets into ``raw``."""
@@ -76,7 +79,7 @@ class Model:
         starts = off[:-1][filled] - a
         out = np.zeros((len(off) - 1, len(self.langs)))
         for n in range(len(self.langs)):
-            out[filled, n] = np.add.reduceat(self.table[n][ctx].astype(np.int64), starts) / UNIT
+            out[filled, n] = np.add.reduceat(self.table[n][ctx] + self.rest[n][raw[a:z]], starts) / UNIT
         return out
 
 
@@ -98,6 +101,16 @@ def code_lengths(counts: list[np.ndarray]) -> np.ndarray:
     return -np.log2(np.maximum(p, 2.0**-30)).reshape(-1)
 
 
+def rest_lengths(counts: np.ndarray) -> np.ndarray:
+    """Bits of each of the bytes that share a symbol, from their counts."""
+    total, seen = counts.sum(), counts > 0
+    distinct, unseen = seen.sum(), (~seen).sum()
+    if not total:
+        return np.full(len(counts), math.log2(max(1, len(counts))))
+    hit = counts / (total + distinct if unseen else total)
+    return -np.log2(np.where(seen, hit, distinct / (total + distinct) / max(1, unseen)))
+
+
 def train(samples: dict[str, list[str]]) -> Model:
     """A model from texts by language."""
     data = {g: [t.lower().encode("utf-8", "surrogatepass") for t in ts] for g, ts in sorted(samples.items())}
@@ -110,8 +123,10 @@ def train(samples: dict[str, list[str]]) -> Model:
     symbol = np.zeros(256, np.uint8)
     top = [b for b in np.argsort(-seen, kind="stable")[: SYMBOLS - 1] if seen[b]]
     symbol[top] = np.arange(1, len(top) + 1)
-    tables = []
-    for ts in data.values():
+    tables, rest = [], np.zeros((len(data), 256), np.int64)
+    others = np.flatnonzero(symbol == 0)
+    for n, ts in enumerate(data.values()):
+        rest[n, others] = rest_lengths(sum((np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in ts), np.zeros(256, np.int64))[others]) * UNIT
         counts = [np.zeros(SYMBOLS ** (d + 1), np.int64) for d in range(ORDER + 1)]
         for t in ts:
             s = np.concatenate((np.zeros(ORDER, np.int64), symbol[np.frombuffer(t, np.uint8)]))
@@ -122,7 +137,7 @@ def train(samples: dict[str, list[str]]) -> Model:
                 scale *= SYMBOLS
                 counts[d] += np.bincount(code, minlength=len(counts[d]))
         tables.append(np.minimum(code_lengths(counts) * UNIT, 65535).astype(np.uint16))
-    return Model(list(data), symbol, np.stack(tables) if tables else np.zeros((0, SYMBOLS ** (ORDER + 1)), np.uint16))
+    return Model(list(data), symbol, np.stack(tables) if tables else np.zeros((0, SYMBOLS ** (ORDER + 1)), np.uint16), rest)
 
 
 def held_out(key):
@@ -195,6 +210,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def bits_brute_force(samples: list[str], text: str, symbol: np.ndarray) -> float:
     """The exact PPM code length of ``text``, by walking contexts symbol by symbol; for tests."""
     tree: dict[tuple[int, ...], dict[int, int]] = {}
+    others = [b for t in samples for b in t.lower().encode() if not symbol[b]]
+    alphabet = int((symbol == 0).sum())
     for t in samples:
         s = [0] * ORDER + [int(symbol[b]) for b in t.lower().encode()]
         for i in range(ORDER, len(s)):
@@ -216,6 +233,11 @@ def bits_brute_force(samples: list[str], text: str, symbol: np.ndarray) -> float
             return node[x] / (total + distinct)
         return distinct / (total + distinct) * shorter(x) / free
 
+    for b in text.lower().encode():
+        if not symbol[b]:
+            unseen = alphabet - len(set(others))
+            hit, escape = others.count(b) / (len(others) + (len(set(others)) if unseen else 0) or 1), len(set(others)) / (len(others) + len(set(others)) or 1)
+            bits -= math.log2(hit or (escape / unseen if others else 1 / alphabet))
     for i in range(ORDER, len(s)):
         bits += -math.log2(max(share(tuple(s[i - ORDER : i]), s[i]), 2.0**-30))
     return bits

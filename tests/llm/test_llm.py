@@ -238,3 +238,17 @@ def test_line_dedup_blank_lines(spark):
     # A line of few words is no passage for the blank lines around it.
     short = [f"{prose(rng, 20)}\n\n{own[0][:60]}\n\n{prose(rng, 20)}" for _ in range(4)]
     assert {r.doc_id: r.text for r in lines.line_dedup(docs(spark, short)).collect()} == dict(enumerate(short))
+
+
+def test_ppm_shared_symbol_costs_its_bytes():
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789,.;:"  # 40 and the space, so that some share symbol 0
+    rng = random.Random(8)
+    m = language.train({g: ["".join(rng.choice(letters + " ") for _ in range(400)) + tail for _ in range(3)] for g, tail in (("a", "éé"), ("b", ""))})
+    assert (m.symbol == 0).sum() == 256 - language.SYMBOLS + 1
+    for n in range(2):  # a code: what follows symbol 0 has probabilities of sum 1
+        assert np.exp2(-m.rest[n][m.symbol == 0] / language.UNIT).sum() == pytest.approx(1, abs=0.01) and not m.rest[n][m.symbol != 0].any()
+    raw = np.frombuffer("ééé".encode(), np.uint8)
+    bits = m.scores(raw, np.array([0, len(raw)]))[0]
+    assert bits[0] + 10 < bits[1]  # letters without a symbol of their own tell languages apart
+    raw = np.frombuffer("язык".encode(), np.uint8)
+    assert m.scores(raw, np.array([0, len(raw)])).min() > 8 * len(raw)
