@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import small_batches, utf8
+from .common import checkpointed, small_batches, utf8
 
 #: Depth of the context trees, symbols of the alphabet, and code-length units per bit.
 ORDER, SYMBOLS, UNIT = 3, 40, 2048
@@ -146,8 +146,10 @@ def held_out(key):
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Train on at most ``sample_docs`` whole documents a language, up to ``sample_bytes`` of text (the first document always counts).
+    """Train on at most ``sample_docs`` documents a language, up to ``sample_bytes`` of text.
 
+    A document that would pass the bytes is left out and later ones still count;
+    where the first documents all pass them alone, a part of the first one is taken.
     Only documents that aren't held out are eligible; the sample is the least md5
     of the key.  Languages are counted first, without reading texts.
     """
@@ -162,11 +164,22 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         limit = F.when(F.col(lang) == name, F.lit(min(1.0, (2 * sample_docs + 20) / n))).otherwise(limit)
     order = Window.partitionBy(lang).orderBy("_ticket", key, text)
     drawn = rows.withColumn("_ticket", ticket).where(F.col("_ticket") <= limit).select(lang, key, text, "_ticket")
-    ranked = drawn.withColumns({"_rank": F.row_number().over(order), "_bytes": F.sum(F.octet_length(text)).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    chosen = ranked.where((F.col("_rank") == 1) | (F.col("_rank") <= sample_docs) & (F.col("_bytes") <= sample_bytes)).select(lang, text)
+    # At most sample_docs texts a language are kept, and only their sizes come to the driver at first.
+    ranked = checkpointed(drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_docs))
+    taken: dict[str, list[int]] = {}
+    held: dict[str, int] = {}
+    for g, rank, size in ranked.select(lang, "_rank", F.octet_length(text).alias("size")).orderBy(lang, "_rank").collect():
+        own = taken.setdefault(g, [])
+        if held.get(g, 0) + size <= sample_bytes:
+            own.append(rank)
+            held[g] = held.get(g, 0) + size
+    chosen = F.lit(False)
+    for g, own in taken.items():
+        chosen |= (F.col(lang) == g) & F.col("_rank").isin(own or [1])
     samples: dict[str, list[str]] = {}
-    for g, t in chosen.collect():  # bounded by the two parameters a language
-        samples.setdefault(g, []).append(t)
+    # A text of n characters has n bytes or more, so no more than the bound is collected of a part.
+    for g, t in ranked.where(chosen).orderBy(lang, "_rank").select(lang, F.substring(text, 1, sample_bytes)).collect():
+        samples.setdefault(g, []).append(t.encode("utf-8", "surrogatepass")[:sample_bytes].decode("utf-8", "ignore"))
     return train(samples)
 
 

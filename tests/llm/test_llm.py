@@ -252,3 +252,17 @@ def test_ppm_shared_symbol_costs_its_bytes():
     assert bits[0] + 10 < bits[1]  # letters without a symbol of their own tell languages apart
     raw = np.frombuffer("язык".encode(), np.uint8)
     assert m.scores(raw, np.array([0, len(raw)])).min() > 8 * len(raw)
+
+
+def test_ppm_sample_passes_over_long_documents(spark):
+    texts = ["long " * 200, "short text here", "other words", "more of it"]
+    df = docs(spark, texts * 5).withColumn("doc_id", F.col("doc_id").cast("long"))
+    seen = []
+    real, language.train = language.train, lambda samples: seen.append(samples) or real(samples)
+    try:
+        language.fit(df, sample_bytes=100)
+        language.fit(docs(spark, texts[:1] * 9), sample_bytes=100)
+    finally:
+        language.train = real
+    assert len(seen[0]["en"]) > 2 and texts[0] not in seen[0]["en"] and sum(map(len, seen[0]["en"])) <= 100
+    assert seen[1]["en"] == [texts[0][:100]]
