@@ -10,14 +10,10 @@ from pyspark.sql import functions as F
 from marlstone.llm import contamination, language, lines, nearjoin, packing
 from marlstone.llm.common import table
 
-#: A document goes if no learned language codes it in this many bits a byte, or if it holds no letter.
-MAX_BITS_PER_BYTE = 6.0
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that PPM recognises; lang becomes the prediction."""
-    judged = language.identify(docs, language.fit(docs))
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MAX_BITS_PER_BYTE))
+    """Documents with a letter that a learned language codes within the model's limit; lang becomes the prediction."""
+    model = language.fit(docs, limited=True)
+    kept = language.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= model.limit))
     return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 

@@ -31,6 +31,9 @@ from .common import checkpointed, small_batches, utf8
 ORDER, SYMBOLS, UNIT = 3, 40, 2048
 #: The bound of the training sample: documents and bytes of text a language.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 600_000
+#: Standard deviations above the mean rate of labelled documents from which a text counts as none of the languages: whatever
+#: their distribution, at most 1 / SPREAD^2 of them lie beyond.  At RAW_BITS a byte, nothing learned helps to code it.
+SPREAD, RAW_BITS = 20, 8.0
 
 
 @dataclass
@@ -39,6 +42,7 @@ class Model:
     symbol: np.ndarray  # byte -> symbol
     table: np.ndarray  # code lengths in 1 / UNIT bits: [language, context * SYMBOLS + symbol], uint16
     rest: np.ndarray  # what a byte costs after its symbol, in 1 / UNIT bits: [language, byte]; 0 for bytes with a symbol of their own
+    limit: float = RAW_BITS  # bits a byte above which a text is in none of the languages
 
     def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code lengths in bits, [text, language]; ``off`` are n + 1 byte offsets into ``raw``."""
@@ -140,18 +144,34 @@ def train(samples: dict[str, list[str]]) -> Model:
     return Model(list(data), symbol, np.stack(tables) if tables else np.zeros((0, SYMBOLS ** (ORDER + 1)), np.uint16), rest)
 
 
+def rate_limit(samples: dict[str, list[str]]) -> float:
+    """The limit that labelled texts set: each half of them is coded by what the other half teaches."""
+    rates: list[np.ndarray] = []
+    for half in (0, 1):
+        m = train({g: ts[half::2] for g, ts in samples.items() if ts[half::2]})
+        texts = [t.lower().encode("utf-8", "surrogatepass") for ts in samples.values() for t in ts[1 - half :: 2]]
+        texts = [t for t in texts if t]
+        if m.langs and texts:
+            off = np.cumsum([0, *map(len, texts)])
+            rates.append(m.scores(np.frombuffer(b"".join(texts), np.uint8), off).min(1) / np.diff(off))
+    if not rates:
+        return RAW_BITS
+    r = np.concatenate(rates)
+    return float(min(RAW_BITS, r.mean() + SPREAD * r.std()))
+
+
 def held_out(key):
     """crc32 of the key as text, mod 5, is 0; false for a null key."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, limited: bool = False) -> Model:
     """Train on at most ``sample_docs`` documents a language, up to ``sample_bytes`` of text.
 
     A document that would pass the bytes is left out and later ones still count;
     where the first documents all pass them alone, a part of the first one is taken.
     Only documents that aren't held out are eligible; the sample is the least md5
-    of the key.  Languages are counted first, without reading texts.
+    of the key.  With ``limited``, it sets the model's limit too.  Languages are counted first, without reading texts.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
     ticket = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
@@ -180,7 +200,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     # A text of n characters has n bytes or more, so no more than the bound is collected of a part.
     for g, t in ranked.where(chosen).orderBy(lang, "_rank").select(lang, F.substring(text, 1, sample_bytes)).collect():
         samples.setdefault(g, []).append(t.encode("utf-8", "surrogatepass")[:sample_bytes].decode("utf-8", "ignore"))
-    return train(samples)
+    model = train(samples)
+    if limited:
+        model.limit = rate_limit(samples)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

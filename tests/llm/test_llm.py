@@ -266,3 +266,16 @@ def test_ppm_sample_passes_over_long_documents(spark):
         language.train = real
     assert len(seen[0]["en"]) > 2 and texts[0] not in seen[0]["en"] and sum(map(len, seen[0]["en"])) <= 100
     assert seen[1]["en"] == [texts[0][:100]]
+
+
+def test_pipeline_rejects_unlearned_languages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = {"en": "the and that committee with budget plans for year people house which", "de": "der und dass ausschuss mit haushalt für jahr menschen häuser welche größe"}
+    common = "0123456789 quick brown fox, jumps; over: lazy. dog! vexing?"  # so frequent that other letters share a symbol
+    rows = [(n, " ".join([common, "äößüéñ", *(rng.choice(words[g].split()) for _ in range(rng.randrange(8, 80))), common]), g, None, None) for n, g in enumerate(["en", "de"] * 60)]
+    strange = ["日本語の文章はここにあります。" * 9, "это предложение написано на русском языке " * 5, "αυτή είναι μια πρόταση στα ελληνικά " * 5, "这是一个没有学习过的语言的句子" * 9, " ".join(f"{rng.getrandbits(128):032x}" for _ in range(9)), "привет мир"]
+    rows += [(1000 + n, t, None, None, None) for n, t in enumerate(strange)]
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()}
+    assert kept == {n: g for n, _, g, _, _ in rows if n < 1000}
