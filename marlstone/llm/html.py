@@ -25,6 +25,8 @@ from .urls import split_url
 
 #: A subtree is a template part from this many pages of different content, and this share of its host's, on.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: On hosts of more pages, the share falls with the root of their number, as sections and rotating notices are on few of many.
+FULL_SHARE_PAGES = 100
 #: Most hashes and hosts of a template table that is broadcast (8 bytes, and some 60); beyond, pages meet it in a sort-merge join.
 BROADCAST_TREES, BROADCAST_HOSTS = 1 << 20, 1 << 17
 
@@ -222,8 +224,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     parts = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "trees")).alias("tree")).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
     # A null tree stands for the page itself, so that sizes of hosts come from the same aggregation.
     hosts = parts.where("tree is null").select("host", F.col("n").alias("of"))
-    recurring = parts.where(F.col("tree").isNotNull() & (F.col("n") >= min_pages)).join(hosts, "host").where(F.col("n") >= min_share * F.col("of"))
-    # At most (subtrees a page) / min_share hashes a host can reach the share.
+    recurring = parts.where(F.col("tree").isNotNull() & (F.col("n") >= min_pages)).join(hosts, "host").where(F.col("n") >= min_share * F.least(F.col("of"), F.sqrt(F.col("of") * FULL_SHARE_PAGES)))
+    # At most (subtrees a page) / share hashes a host can reach the share: they grow with the root of its pages.
     # Materialised: its size decides how pages meet it, and a sort-merge join with it is a plain one, where Spark splits a hot host's pages.
     templates = checkpointed(recurring.groupBy("host").agg(F.collect_list("tree").alias("trees")))
 

@@ -88,6 +88,14 @@ def test_html_templates(spark):
         assert got == {**{i: f"own {i}" for i in range(8)}, 9: "", 10: ""}
 
 
+def test_html_templates_of_a_large_host(spark):
+    """A block on 50 of 400 pages is a section's; one on 30 is not."""
+    block = lambda i: "<div><p>section words</p></div>" if i < 50 else "<div><p>copied words</p></div>" if i < 80 else ""
+    rows = [(i, f"http://h.org/{i}", f"<body>{block(i)}<div><p>own {i}</p></div></body>") for i in range(400)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"copied words\n\nown {i}" if 50 <= i < 80 else f"own {i}" for i in range(400)}
+
+
 def test_urls(spark):
     rows = [(0, "http://A.example.net/en/1?x"), (1, "http://example.net"), (2, "https://b.example.com/de/"), (3, None), (4, "no scheme"), (5, "x://badexample.com/de/"), (6, "http://spam.org/fr/1"), (7, "http://spam.org/1")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
