@@ -48,12 +48,37 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared folder, which cuts its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, for columns that come and go inside an operator."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table, written into the plan."""
+    names = [c.split()[0] for c in schema.split(",")]
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in schema.split(",")) + " WHERE false")
+    kinds = [c.split()[1] for c in schema.split(",")]
+    made = F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in zip(r, names, kinds, strict=True)]) for r in rows])
+    return spark.range(1, numPartitions=1).select(F.inline(made))
+
+
 def utf8(column: pa.Array):
     """(bytes as numpy uint8, int64 offsets of n + 1) of a string or binary column without copies; null is empty."""
     import numpy as np
@@ -82,10 +107,11 @@ def dense_rank(df: DataFrame, group: list[str], order: list[str], into: str, row
     total = df.count()
     buckets = max(16, -(-total // rows_per_bucket))
     name = F.concat_ws(":", *[F.col(c).cast("string") for c in order])
-    celled = df.withColumn("_cell", (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % buckets).cast("int"))
-    sizes = celled.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    w = Window.partitionBy(*group, "_cell").orderBy(*order)
-    placed = celled.withColumn("_rn", F.row_number().over(w) - 1)
-    return placed.join(starts, [*group, "_cell"]).withColumn(into, (F.col("_rn") + F.col("_start")).cast("long")).drop("_rn", "_start", "_cell")
+    cell, n, start, rn = (fresh(df, c) for c in ("cell", "n", "start", "rn"))
+    celled = df.withColumn(cell, (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % buckets).cast("int"))
+    sizes = celled.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    w = Window.partitionBy(*group, cell).orderBy(*order)
+    placed = celled.withColumn(rn, F.row_number().over(w) - 1)
+    return placed.join(starts, [*group, cell]).withColumn(into, (F.col(rn) + F.col(start)).cast("long")).drop(rn, start, cell)

@@ -1,18 +1,22 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 A benchmark item's windows are sets of shingles with fixed places.  A window
-occurs in a document only if all its shingles do, so its prefix is one shingle:
-the one that is rarest in the corpus.  Documents meet windows on that shingle
-alone; length and positional bounds discard what can't hold a whole window; the
-rest is verified shingle by shingle, which is equality of all words.
-
-The benchmark's index goes to every task, in blocks of items of at most
-``block_words`` words, one pass over the documents a block.
+occurs in a document only if all its shingles do, so a prefix of one shingle is
+necessary: the rarest one.
+
+Pass 1 counts, over all documents, in how many each shingle of the benchmark
+occurs.  That orders shingles by rarity, and a window with a shingle that occurs
+nowhere is gone.  Pass 2 joins documents with what is left on the prefix
+shingles alone; length and positional bounds discard places that can't hold a
+whole window, and the words of the text decide.
+
+The benchmark is read in blocks of items of at most ``block_words`` words.  What
+a block sends to the tasks of pass 1 is 8 bytes a word; pass 2 gets only windows
+whose shingles all occur, some 40 bytes each.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -21,81 +25,124 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import small_batches, utf8
+from .shingles import ALNUM, grams, word_runs
 
 #: Words are runs of other characters, after A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The same on UTF-8 bytes: all other bytes but digits and a-z part words; A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WINDOW, SHINGLE = 13, 5
-#: Words of benchmark items in one block: some 100 bytes each in a worker.
-BLOCK_WORDS = 2_000_000
+#: Words of benchmark items in one block.
+BLOCK_WORDS = 1_000_000
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+def words(text: str | bytes | None) -> list[bytes]:
+    text = text or b""
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).translate(_FOLD).split()
 
 
-class Index:
-    """Vocabulary, shingles and windows of one block of items."""
+class Shingles:
+    """The distinct shingles of one block of items, to be counted in documents."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, shingle: int = SHINGLE):
-        self.vocab: dict[bytes, int] = {}
-        self.shingles: dict[tuple[int, ...], int] = {}
-        # A window: (item, its shingle ids in order); equal windows of several items share one.
-        windows: dict[tuple[int, ...], set[str]] = {}
-        self.sizes: set[int] = set()
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
-            if not ids:
-                continue
-            n = min(window, len(ids))
-            for a in range(len(ids) - n + 1):
-                windows.setdefault(tuple(ids[a : a + n]), set()).add(item)
-        self.windows: list[tuple[int, tuple[int, ...], list[str]]] = []
-        for ids, of in windows.items():
-            k = min(shingle, len(ids))
-            self.sizes.add(k)
-            parts = tuple(self.shingles.setdefault(ids[a : a + k], len(self.shingles)) for a in range(len(ids) - k + 1))
-            self.windows.append((len(ids), parts, sorted(of)))
-        # Shingles by size: sorted mixed codes for vectorised look-up; equal codes are told apart by their words.
-        self.lookup = {}
-        for k in self.sizes:
-            own = [(s, i) for s, i in self.shingles.items() if len(s) == k]
-            codes = np.array([self._code(np.array(s, np.int64)[None, :])[0] for s, _ in own], np.uint64)
-            order = np.argsort(codes, kind="stable")
-            if len(np.unique(codes)) != len(codes):
-                raise RuntimeError("two shingles share a code")
-            self.lookup[k] = (codes[order], np.array([i for _, i in own], np.int64)[order], np.array([s for s, _ in own], np.int64)[order])
-
-    @staticmethod
-    def _code(ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.uint64)
-        for c in range(ids.shape[1]):
-            out = (out ^ ids[:, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out
-
-    def matches(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-        """(number of words, places, shingle ids): every benchmark shingle in the text, exactly."""
-        own = words(text)
-        ids = np.fromiter(map(self.vocab.get, own, [-1] * len(own)), np.int64, len(own)) if own else np.zeros(0, np.int64)
-        at, what = [], []
-        known = ids >= 0
-        run = np.concatenate(([0], np.cumsum(known)))
-        for k in self.sizes:
-            starts = np.flatnonzero(run[k:] - run[:-k] == k) if len(ids) >= k else np.zeros(0, np.int64)
-            if not len(starts):
+        self.window, self.shingle = window, shingle
+        self.names = [i for i, _ in items]
+        self.words = [words(t) for _, t in items]
+        body = [b" ".join(w) for w in self.words]
+        off = np.cumsum([0, *map(len, body)])
+        hashes: list[np.ndarray] = []
+        for _, h, at in word_runs(np.frombuffer(b"".join(body), np.uint8), off, ALNUM):
+            hashes += [h[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+        #: Shingles of every item in order; an item of fewer words than a shingle has is one of its own size.
+        self.codes = [grams(h, min(shingle, len(h))) for h in hashes]
+        sizes = [min(shingle, len(w)) for w in self.words]
+        self.by_size = {k: np.unique(np.concatenate([c for c, s in zip(self.codes, sizes, strict=True) if s == k])) for k in set(sizes) if k}
+
+    def probe(self) -> Probe:
+        return Probe(self.by_size)
+
+    def windows(self, counts: dict[int, np.ndarray]) -> Prefixes:
+        """Windows whose shingles all occur in some document, by their rarest one."""
+        found: list[tuple[int, int, int, int, int, int]] = []
+        for r, (own, code) in enumerate(zip(self.words, self.codes, strict=True)):
+            if not own:
                 continue
-            grams = ids[starts[:, None] + np.arange(k)]
-            codes, sid, rows = self.lookup[k]
-            place = np.minimum(np.searchsorted(codes, c := self._code(grams)), len(codes) - 1)
-            hit = (codes[place] == c) & (rows[place] == grams).all(axis=1)
-            at.append(starts[hit])
-            what.append(sid[place[hit]])
-        if not at:
-            return len(own), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return len(own), np.concatenate(at), np.concatenate(what)
+            k, n = min(self.shingle, len(own)), min(self.window, len(own))
+            df = counts[k][np.searchsorted(self.by_size[k], code)]
+            seen = np.lib.stride_tricks.sliding_window_view(df, n - k + 1)
+            rare = seen.argmin(1)
+            for a in np.flatnonzero(seen.min(1) > 0).tolist():
+                found.append((k, int(code[a + rare[a]]), int(rare[a]), r, a, n))
+        return Prefixes(found, self)
+
+
+class Probe:
+    """Finds listed shingles in texts, run by run."""
+
+    def __init__(self, by_size: dict[int, np.ndarray]):
+        self.by_size = by_size
+        self.maybe = {}
+        for k, codes in by_size.items():
+            bits = max(12, int(len(codes)).bit_length() + 4)
+            table = np.zeros(1 << bits, bool)
+            table[codes >> np.uint64(64 - bits)] = True
+            self.maybe[k] = np.uint64(64 - bits), table
+
+    def find(self, w: np.ndarray, at: np.ndarray):
+        """Yields (size, text, place in the text, number of the shingle) as arrays; ``at`` are the texts' offsets into words ``w``."""
+        for k, codes in self.by_size.items():
+            g = grams(w, k)
+            shift, table = self.maybe[k]
+            p = np.flatnonzero(table[g >> shift])
+            number = np.minimum(np.searchsorted(codes, g[p]), len(codes) - 1)
+            hit = codes[number] == g[p]
+            p, number = p[hit], number[hit]
+            text = np.searchsorted(at, p, "right") - 1
+            whole = p + k <= at[text + 1]  # not over a text's end
+            p, number, text = p[whole], number[whole], text[whole]
+            yield k, text, p - at[text], number
+
+
+class Prefixes:
+    """Windows by their prefix shingle, as arrays."""
+
+    def __init__(self, found: list[tuple[int, int, int, int, int, int]], of: Shingles):
+        rows = sorted({f[3] for f in found})
+        place = {r: i for i, r in enumerate(rows)}
+        self.names, self.words = [of.names[r] for r in rows], [of.words[r] for r in rows]
+        found.sort()
+        self.codes, self.start, self.posts = {}, {}, {}
+        for k in {f[0] for f in found}:
+            own = [f for f in found if f[0] == k]
+            codes, at = np.unique(np.array([f[1] for f in own], np.uint64), return_index=True)
+            self.codes[k], self.start[k] = codes, np.append(at, len(own))
+            #: Of each window: the prefix's place in it, item, first word, words.
+            self.posts[k] = np.array([(f[2], place[f[3]], f[4], f[5]) for f in own], np.int32)
+
+    def verify(self, text: bytes, n: int, places: list[tuple[int, int, int]]) -> tuple[list[int], list[str]]:
+        """(merged spans, items) of windows found from (size, place, prefix) in a text of n words."""
+        own, hits, items = None, set(), set()
+        for k, place, number in places:
+            for rare, item, first, length in self.posts[k][self.start[k][number] : self.start[k][number + 1]].tolist():
+                start = place - rare
+                if start < 0 or start + length > n:  # positional and length bounds
+                    continue
+                own = own or words(text)
+                if own[start : start + length] == self.words[item][first : first + length]:
+                    hits.add((start, start + length))
+                    items.add(self.names[item])
+        return _merged(hits), sorted(items)
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[int]:
+    out: list[int] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], z)
+        else:
+            out += [a, z]
+    return out
 
 
 def _blocks(items: Iterable[tuple[str, str | None]], block_words: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -111,6 +158,32 @@ def _blocks(items: Iterable[tuple[str, str | None]], block_words: int) -> Iterat
     yield block
 
 
+def _frequencies(rows: DataFrame, own: Shingles) -> dict[int, np.ndarray]:
+    """By shingle size: in how many documents each shingle of the block occurs."""
+    shared = rows.sparkSession.sparkContext.broadcast(own.by_size)
+    size = {k: len(c) for k, c in own.by_size.items()}
+
+    def count(batches):
+        probe = Probe(shared.value)
+        sums = {k: np.zeros(n, np.int64) for k, n in size.items()}
+        for b in batches:
+            for _, w, at in word_runs(*utf8(b.column(0)), ALNUM):
+                for k, text, _, number in probe.find(w, at):
+                    sums[k] += np.bincount(np.unique(text * size[k] + number) % size[k], minlength=size[k])
+        for k, n in sums.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(n[some])], names=["k", "s", "n"])
+
+    # At most as many rows as the block has shingles.
+    sums = rows.select("t").mapInArrow(count, "k int, s long, n long").groupBy("k", "s").agg(F.sum("n").alias("n")).toArrow()
+    out = {k: np.zeros(n, np.int64) for k, n in size.items()}
+    ks, ss, ns = (sums.column(c).to_numpy() for c in ("k", "s", "n"))
+    for k in out:
+        out[k][ss[ks == k]] = ns[ks == k]
+    shared.destroy()
+    return out
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS,
@@ -119,22 +192,23 @@ def decontaminate(
 
     A word is hit if it lies in an occurrence of an item's window; an item of
     fewer words than ``window`` is one window; items without words have none.
-    Contaminated: n_hit > 0 and 20 * n_hit >= n_words.  Null text has no words.
-    Items of one text are all listed; repeated document rows get a row each;
-    empty tables on either side give no hits; other columns are left out.
+    Contaminated: n_hit > 0 and 20 * n_hit >= n_words.  ``hit_spans`` are merged
+    (first, end) word places, flat.  Null text has no words; texts of any length
+    are searched whole; a null key gets a row.  Items of one text are all
+    listed, an item of a null key is none; repeated document rows get a row
+    each; empty tables on either side give no hits; other columns are left out,
+    whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sc = spark.sparkContext
     # The benchmark, not the corpus: streamed from Spark block by block, whatever its size.
-    rows = benchmark.select(F.col(item_key).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator()
-    state = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    blocks = _blocks(((r.i, r.t) for r in rows), block_words)
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
-        state = _pass(state, sc.broadcast(Index(block, window, shingle)), last=after is None)
-        block = after
+    listed = benchmark.select(F.col(item_key).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator()
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    state = rows.select("k", "t", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    for block in _blocks(((r.i, r.t) for r in listed), block_words):
+        own = Shingles(block, window, shingle)
+        left = own.windows(_frequencies(rows, own)) if own.by_size else Prefixes([], own)
+        state = _join(state, spark.sparkContext.broadcast(left))
     out = state.select(
         F.col("k").alias(key), "n_words",
         F.expr("aggregate(sequence(1, size(spans) div 2), 0L, (a, i) -> if(size(spans) = 0, 0L, a + spans[2 * i - 1] - spans[2 * i - 2]))").alias("n_hit"),
@@ -146,75 +220,31 @@ def decontaminate(
     return out.select(key, "n_words", "n_hit", "n_items", "items_sha256", flagged.alias("contaminated"), "items", "hit_spans")
 
 
-def _pass(state: DataFrame, index, last: bool) -> DataFrame:
+def _join(state: DataFrame, prefixes) -> DataFrame:
     """Add one block's hit spans and items to every document."""
 
-    def probe(batches):
-        own = index.value
+    def meet(batches):
+        own = prefixes.value
+        probe = Probe(own.codes)
         for b in batches:
-            t = b.column(1).to_pylist()
-            found = [own.matches(x) for x in t]
-            n = pa.array([f[0] for f in found], pa.int64())
-            at = pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))
-            sid = pa.array([f[2].astype(np.int32) for f in found], pa.list_(pa.int32()))
-            keep = b.column(1) if not last else pa.nulls(len(b), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), keep, n, b.column(3), b.column(4), at, sid], names=["k", "t", "n_words", "spans", "items", "at", "sid"])
-
-    schema = "k long, t string, n_words long, spans array<int>, items array<string>"
-    met = checkpointed(state.mapInArrow(probe, schema + ", at array<int>, sid array<int>"))
-    # Document frequencies of the benchmark's shingles over all documents: at most as many rows as the block has shingles.
-    counts = {r.s: r.n for r in met.where("size(sid) > 0").select(F.explode(F.array_distinct("sid")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
-    frequencies = met.sparkSession.sparkContext.broadcast(counts)
-
-    def verify(batches):
-        own, df = index.value, frequencies.value
-        prefix: dict[int, list[tuple[int, int]]] = {}
-        for w, (_, parts, _) in enumerate(own.windows):
-            rare = min(range(len(parts)), key=lambda i: (df.get(parts[i], 0), i))
-            prefix.setdefault(parts[rare], []).append((w, rare))
-        for b in batches:
-            spans, items = b.column(3).to_pylist(), b.column(4).to_pylist()
-            for r, (n, at, sid) in enumerate(zip(b.column(2).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)):
-                if not sid:
-                    continue
-                there = set(zip(at, sid, strict=True))
-                hits, of = [], set(items[r])
-                for place, s in zip(at, sid, strict=True):
-                    for w, i in prefix.get(s, ()):
-                        length, parts, names = own.windows[w]
-                        start = place - i
-                        if start < 0 or start + length > n:  # positional and length bounds
-                            continue
-                        if all((start + j, p) in there for j, p in enumerate(parts)):
-                            hits.append((start, start + length))
-                            of.update(names)
-                if hits:
-                    hits += zip(spans[r][::2], spans[r][1::2], strict=True)
-                    merged: list[int] = []
-                    for a, z in sorted(hits):
-                        if merged and a <= merged[-1]:
-                            merged[-1] = max(merged[-1], z)
-                        else:
-                            merged += [a, z]
-                    spans[r], items[r] = merged, sorted(of)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["k", "t", "n_words", "spans", "items"])
-
-    return met.mapInArrow(verify, schema)
-
-
-def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, int, str, bool]:
-    """The contract's figures for one document by plain search; for tests."""
-    own = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
-    hit, of = set(), []
-    for item, t in items:
-        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        n, some = min(window, len(w)), False
-        for a in range(len(w) - n + 1 if w else 0):
-            for p in range(len(own) - n + 1):
-                if own[p : p + n] == w[a : a + n]:
-                    hit.update(range(p, p + n))
-                    some = True
-        if some:
-            of.append(str(item))
-    digest = hashlib.sha256(",".join(sorted(of)).encode()).hexdigest()
-    return len(own), len(hit), len(of), digest, bool(hit) and 20 * len(hit) >= len(own)
+            texts = b.column(1)
+            n = np.zeros(len(b), np.int64)
+            places: dict[int, list[tuple[int, int, int]]] = {}
+            for i, w, at in word_runs(*utf8(texts), ALNUM):
+                n[i : i + len(at) - 1] = np.diff(at)
+                for k, text, place, number in probe.find(w, at):
+                    for t, p, x in zip((text + i).tolist(), place.tolist(), number.tolist(), strict=True):
+                        places.setdefault(t, []).append((k, p, x))
+            spans, items = b.column(3), b.column(4)
+            if places:
+                spans, items = spans.to_pylist(), items.to_pylist()
+                for r, where in places.items():
+                    found, names = own.verify((texts[r].as_py() or "").encode("utf-8", "surrogatepass"), int(n[r]), where)
+                    if found:
+                        old = spans[r]
+                        spans[r] = _merged([*zip(old[::2], old[1::2], strict=True), *zip(found[::2], found[1::2], strict=True)])
+                        items[r] = sorted({*items[r], *names})
+                spans, items = pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(n), spans, items], names=["k", "t", "n_words", "spans", "items"])
+
+    return state.mapInArrow(meet, "k long, t string, n_words long, spans array<int>, items array<string>")

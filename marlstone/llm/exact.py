@@ -1,7 +1,7 @@
 """Exact duplicates by Patricia tries.
 
-Map tasks fold the equal texts they see into one row each, so a hot text costs
-a reducer one row a task at most.  Rows are dealt by (length, content hash);
+Map tasks fold the equal texts they see into one row each (again after every
+``FOLD_BYTES`` of different ones), so a hot text costs a reducer few rows a task.  Rows are dealt by (length, content hash);
 each partition inserts the full byte strings into a compressed radix trie whose
 terminal nodes keep the owner and the number of copies.  A trie that outgrows
 its memory bound moves its largest subtrees to files, and resolves them one by
@@ -194,17 +194,11 @@ def owners(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str =
     def resolve(batches):
         trie = PatriciaTrie(_merge_with(pick), trie_bytes)
         for b in batches:
-            n, h, body, ids, c = (col.to_pylist() for col in b.columns)
-            for length, digest, k, i, m in zip(n, h, body, ids, c, strict=True):
-                trie.insert(length.to_bytes(6, "big") + (digest & (1 << 64) - 1).to_bytes(8, "big") + k, (i, m))
-        out, seen = [], set()
+            for k, i, m in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                trie.insert(k, (i, m))
+        out = []
         for k, (i, m) in trie.items():
-            body = k[14:]
-            digest = hashlib.sha256(body).digest()
-            if digest in seen:
-                raise RuntimeError("two different texts have one SHA-256")
-            seen.add(digest)
-            out.append((len(body), digest.hex(), i, m))
+            out.append((len(k), hashlib.sha256(k).hexdigest(), i, m))
             if len(out) >= 4096:
                 yield _batches(out, found)
                 out = []
@@ -223,8 +217,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     text.  ``keep`` names the surviving key of a group ("largest" or
     "smallest").  Rows that repeat key and text share that verdict; rows with a
     null key own nothing and are kept only if no group has their text (group
-    size null then).  Other columns pass through; columns of the names added
-    here are replaced.
+    size null then).  Texts of any length are compared whole; an empty table
+    gives none.  Other columns pass through, whatever their names; columns of
+    the names added here are replaced.
     """
     small_batches(docs.sparkSession)
     added = ["keep_id", "group_size", "kept", "text_sha256"]

@@ -2,12 +2,13 @@
 
 Lines are hashed, and a rolling hash over the last ``WIDTH`` line hashes ends a
 chunk where it falls on a multiple of ``DIVISOR`` (never twice in a row, nor at
-the first or last line of a run).  A chunk also ends where lines
-that occur once in the corpus meet lines that occur again.  Both depend on
-content alone, so an inserted line shifts no later boundary, and a repeated
-passage is cut the same way wherever it stands.  Chunks of several lines, or of
-``LONG_WORDS`` words or more, that occur again with the same bytes are removed
-everywhere but at their first place.
+the first or last line of a run).  A chunk also ends where lines that occur once
+in the corpus meet lines that occur again, so that a repeated passage isn't
+fused with what surrounds it, and a recurring line of ``LONG_WORDS`` words or
+more is a chunk of its own, as passages of that size may be one line.  No
+boundary depends on a line's place, so an inserted line shifts no later one.
+Chunks of several lines, and those long ones, that occur again with the same
+bytes are removed everywhere but at their first place.
 
 Lines without words are no lines of a run: boundaries, line counts and word
 counts come from the others alone.  Those inside a chunk are part of its bytes,
@@ -28,44 +29,44 @@ WIDTH, DIVISOR, BASE, PRIME = 2, 4, 31, 1_000_003
 MIN_LINES, MIN_WORDS, LONG_WORDS = 2, 12, 40
 
 
-def chunk_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """key, text hash ``_h`` and the sorted array ``drop`` of (first, n) runs of lines to remove, for documents that lose any.
+def chunk_verdicts(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """k, h and the sorted array ``gone`` of (first, n) runs of lines to remove, for documents that lose any.
 
-    ``docs`` has ``_h``, the hash of its text; key and text aren't null.
+    ``docs`` are (k: key, h: hash of the text, t: text), none of them null.
     """
-    own = docs.select(F.col(key).alias("k"), "_h", F.col(text).alias("t"))
-    split = F.split("t", "\n")
-    # (key, text) names a document, so repeated rows are one document; lines go on as hashes and word counts.
-    facts = F.transform(split, lambda x: F.struct(F.conv(F.substring(F.md5(x), 1, 12), 16, 10).cast("long").alias("h"), F.size(F.filter(F.split(x, "[ \\t\\r]+"), lambda w: w != "")).alias("w")))
-    lines = own.select("k", "_h", F.posexplode(facts).alias("pos", "f")).groupBy("k", "_h", "pos").agg(F.first("f").alias("f")).select("k", "_h", "pos", "f.h", "f.w")
+    # Lines go on as hashes and word counts.  (key, text) names a document, so repeated rows are one.
+    facts = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.cast("int").alias("pos"), F.conv(F.substring(F.md5(x), 1, 12), 16, 10).cast("long").alias("l"), F.regexp_count(x, F.lit("[^ \\t\\r]+")).alias("w")))
+    own = docs.select("k", "h", F.filter(facts, lambda f: f["w"] > 0).alias("facts")).groupBy("k", "h").agg(F.first("facts").alias("facts"))
+    # Written once: it is counted and cut.
+    lines = checkpointed(own.select("k", "h", F.inline("facts")))
     # Hot keys' own tables are materialised, so that each join below is a plain one, whose skewed partitions Spark splits.
-    again = checkpointed(lines.where("w > 0").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.lit(True).alias("again")))
-    flagged = lines.where("w > 0").join(again, "h", "left").withColumn("again", F.coalesce("again", F.lit(False)))
-    doc = Window.partitionBy("k", "_h").orderBy("pos")
-    before = F.coalesce(F.lag("h").over(doc), F.lit(0))
-    rolled = (F.col("h") + before * F.lit(BASE)) % F.lit(PRIME) % F.lit(DIVISOR) == 0
-    # A cut needs a line of its own kind before it, two after it, and no cut candidate just before in its run, so that no chunk inside a run is a single line.
+    again = checkpointed(lines.groupBy("l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("l", F.lit(True).alias("again")))
+    flagged = lines.join(again, "l", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    doc = Window.partitionBy("k", "h").orderBy("pos")
+    before = F.coalesce(F.lag("l").over(doc), F.lit(0))
+    rolled = (F.col("l") + before * F.lit(BASE)) % F.lit(PRIME) % F.lit(DIVISOR) == 0
+    # A cut needs a line of its own kind before it, two after it, and no cut candidate just before in its run.
     near = lambda f, n=1: F.coalesce(f("again", n).over(doc) == F.col("again"), F.lit(False))
-    rolls = flagged.withColumn("roll", rolled & near(F.lag))
+    rolls = flagged.withColumn("roll", rolled & near(F.lag)).withColumn("long", F.col("again") & (F.col("w") >= long_words))
     ends = rolls.withColumn("cut", F.col("roll") & ~F.coalesce(F.lag("roll").over(doc), F.lit(False)) & near(F.lead) & near(F.lead, 2))
-    starts = F.coalesce(F.lag("cut").over(doc), F.lit(True)) | (F.lag("again").over(doc) != F.col("again"))
+    starts = F.coalesce(F.lag("cut").over(doc), F.lit(True)) | (F.lag("again").over(doc) != F.col("again")) | F.col("long") | F.lag("long").over(doc)
     # Where removal ends: before the run's next line, so that lines without words go too, or after the run's last line.
     until = F.when(near(F.lead), F.lead("pos").over(doc)).otherwise(F.col("pos") + 1)
     numbered = ends.withColumns({"chunk": F.sum(starts.cast("int")).over(doc), "until": until})
     # A document's lines are already together, so this aggregation moves nothing.
-    chunks = numbered.groupBy("k", "_h", "chunk").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("lines"), (F.max("until") - F.min("pos")).alias("n"), (F.max("pos") - F.min("pos") + 1).alias("size"), F.sum("w").alias("w"), F.min("again").alias("again"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hs"))
+    chunks = numbered.groupBy("k", "h", "chunk").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("lines"), (F.max("until") - F.min("pos")).alias("n"), (F.max("pos") - F.min("pos") + 1).alias("size"), F.sum("w").alias("w"), F.min("again").alias("again"), F.sort_array(F.collect_list(F.struct("pos", "l"))).alias("ls"))
     able = chunks.where(F.col("again") & ((F.col("lines") >= min_lines) & (F.col("w") >= min_words) | (F.col("w") >= long_words)))
-    able = checkpointed(able.select("k", "_h", "first", "n", "size", F.xxhash64(F.transform("hs", lambda x: x["h"])).alias("ch")))
+    able = checkpointed(able.select("k", "h", "first", "n", "size", F.xxhash64(F.transform("ls", lambda x: x["l"])).alias("ch")))
     twice = checkpointed(able.groupBy("ch").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ch"))
-    runs = able.join(twice, "ch", "left_semi").groupBy("k", "_h").agg(F.collect_list(F.struct("first", "n", "size")).alias("runs"))
+    runs = able.join(twice, "ch", "left_semi").groupBy("k", "h").agg(F.collect_list(F.struct("first", "n", "size")).alias("runs"))
     # Byte comparison: chunks meet on their bytes, and the least (key, place) owns each text.
-    met = docs.join(runs.withColumnRenamed("k", key), [key, "_h"])
-    bodies = met.select(F.col(key).alias("k"), "_h", F.explode("runs").alias("r"), F.split(text, "\n").alias("ls")).select("k", "_h", "r.first", "r.n", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.size")), "\n").alias("body"))
-    places = bodies.groupBy("k", "_h", "first", "n").agg(F.first("body").alias("body"))
+    met = docs.join(runs, ["k", "h"])
+    bodies = met.select("k", "h", F.explode("runs").alias("r"), F.split("t", "\n").alias("ls")).select("k", "h", "r.first", "r.n", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.size")), "\n").alias("body"))
+    places = bodies.groupBy("k", "h", "first", "n").agg(F.first("body").alias("body"))
     # Grouped by the digest too, owners are dealt anew for the join, which is then a plain one: Spark splits a hot chunk's places.
-    owner = places.groupBy(F.md5("body").alias("_d"), "body").agg(F.min(F.struct("k", "_h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select("body", "o")
-    lost = places.join(owner, "body").where(F.struct("k", "_h", "first") != F.col("o"))
-    return lost.groupBy("k", "_h").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("drop"))
+    owner = places.groupBy(F.md5("body").alias("d"), "body").agg(F.min(F.struct("k", "h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select("body", "o")
+    lost = places.join(owner, "body").where(F.struct("k", "h", "first") != F.col("o"))
+    return lost.groupBy("k", "h").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
@@ -73,24 +74,28 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lin
 
     Null and empty texts stay as they are (null has 0 lines).  A text that loses
     all its lines becomes empty.  Rows that repeat key and text count as one
-    document and lose the same lines.  Documents of a null key are compared with
-    none.  Other columns pass through; columns of the names added are replaced.
+    document and lose the same lines; of equal chunks the place of the least key
+    stays.  Documents of a null key are compared with none.  Texts are cut
+    whole, whatever their length; an empty table gives none.  Other columns pass
+    through, whatever their names; columns of the names added are replaced.
     """
-    added = ["n_lines", "n_removed_lines", "n_removed_chunks"]
-    base = docs.drop(*added).withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    judged = F.col(key).isNotNull() & F.col(text).isNotNull()
+    base = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
+    # The caller's columns travel as one, so none of their names can clash.
+    rest = [c for c in base.columns if c != text]
+    rows = base.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t"))
+    judged = F.col("k").isNotNull() & F.col("t").isNotNull()
     # The same exchange of (key, text, hash) serves the byte comparison and the removal.
-    some = base.where(judged)
-    verdicts = chunk_verdicts(some, key, text, min_lines, min_words, long_words).withColumnRenamed("k", key)
-    out = some.join(verdicts, [key, "_h"], "left").select(*base.columns, "drop")
-    out = out.union(base.where(~judged).withColumn("drop", F.lit(None).cast(out.schema["drop"].dataType)))
-    ls = F.split(text, "\n")
-    inside = lambda i: F.exists("drop", lambda r: (i >= r["first"]) & (i < r["first"] + r["n"]))
-    left = F.array_join(F.filter(ls, lambda x, i: ~inside(i)), "\n")
-    gone = F.coalesce(F.aggregate("drop", F.lit(0).cast("long"), lambda a, r: a + r["n"]), F.lit(0))
-    return out.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(ls)).cast("long"),
-        "n_removed_lines": gone.cast("long"),
-        "n_removed_chunks": F.coalesce(F.size("drop"), F.lit(0)).cast("long"),
-        text: F.when(F.col("drop").isNull(), F.col(text)).otherwise(left),
-    }).drop("_h", "drop")
+    some = rows.where(judged)
+    verdicts = chunk_verdicts(some.select("k", "h", "t"), min_lines, min_words, long_words)
+    out = some.join(verdicts, ["k", "h"], "left").select("row", "t", "gone")
+    out = out.union(rows.where(~judged).select("row", "t", F.lit(None).cast(out.schema["gone"].dataType).alias("gone")))
+    ls = F.split("t", "\n")
+    inside = lambda i: F.exists("gone", lambda r: (i >= r["first"]) & (i < r["first"] + r["n"]))
+    left = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.filter(ls, lambda x, i: ~inside(i)), "\n"))
+    lost = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, r: a + r["n"]), F.lit(0))
+    return out.select(
+        *[left.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in base.columns],
+        F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(ls)).cast("long").alias("n_lines"),
+        lost.cast("long").alias("n_removed_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"),
+    )

@@ -3,28 +3,41 @@
 Documents link when their sets of word shingles have a Jaccard similarity of
 0.8 or more.  Equal sets make one class.  Class sizes fall into bands [l, r] with
 r = 1.25 l; a linked pair lies in one band or in two adjacent ones, and the sizes
-bound its symmetric difference by (|a| + |b|) / 9.  A band's instance divides the
-shingle domain into ``parts`` > that bound, so a linked pair agrees on at least
-parts - bound of them; the shingles of one part are a signature.
+bound its symmetric difference by (|a| + |b|) / 9.
+
+A band's instance divides the shingle domain into first-level parts, each of
+them into ``CELLS`` second-level ones, and every subset of ``CELLS`` - 1 cells of a
+part makes a signature: the shingles in them.  Two sets that differ in one
+shingle of a part at most agree on such a subset, and a linked pair differs in
+more in no more than half its bound's number of parts, so it shares a signature
+in all others: in ``slack`` parts at least.
 
 Signatures that up to ``COLD`` classes share give candidate pairs, counted and
 kept only if they share as many as a linked pair must.  A pair escapes those only
-if both its classes have so many empty or more widely shared parts that these
-could be all they agree on; such classes are candidates by the shared signatures
-themselves, each with its group's least class.  Empty parts have no signature, so
-a class with so many that these could be all it agrees on is signed by each of
-its shingles too, and shares one with any linked class.  Whole candidate families are
-compared, so that no linked pair is missed and no group is expanded into pairs.
+if both its classes have so many weak parts (two empty cells) or widely shared
+signatures that these could be all they agree on; such classes are candidates by
+the shared signatures themselves, each with its group's least class.  Subsets of
+empty cells have no signature, so a class with so many weak parts that these
+could be all it agrees on is signed by each of its shingles too, and shares one
+with any linked class.
+
+Candidates are verified on the sets themselves, which move to their family (the
+candidate graph's component) once instead of once a pair: families of up to
+``FAMILY`` classes are compared in a task, larger ones in rounds of pivots that
+are dealt to the cells of their family.  All of it is on the executors; no group
+is expanded into pairs, and no linked pair is missed.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, utf8
+from .common import checkpointed, constants, small_batches, utf8
 from .components import connected_components, partitions_for
 from .shingles import mix, shingle_sets
 
@@ -32,10 +45,13 @@ from .shingles import mix, shingle_sets
 COLD, FAMILY = 24, 200
 #: Signatures gathered in a map task before they are dealt out.
 GATHER = 1 << 20
-#: Pivots of a family in its first and in any later round, and bytes of all pivots' sets in one round.
-FIRST, PIVOTS, PIVOT_BYTES = 64, 2048, 24 << 20
-#: Most pivots whose names are broadcast to find their sets (16 bytes each); beyond, the sets are joined.
-NAMED = 1 << 17
+#: Pivots of a family in its first and in any later round, bytes of their sets, and classes of a family that one task compares with them.
+FIRST, PIVOTS, PIVOT_BYTES, DEALT = 64, 2048, 16 << 20, 2048
+
+#: Second-level cells of a part; signatures are the subsets that leave out one.
+CELLS = 3
+#: Marks rows of pivots and of those that are compared with them.
+PIVOT, MEMBER = 0, 1
 
 #: In place of the instance: a signature of one shingle, of a class whose empty parts alone could be what it agrees on.
 DIRECT = 127
@@ -52,16 +68,16 @@ def band(n: int) -> int:
 
 
 def parts(i: int) -> int:
-    """Parts of band i's instance: more than a linked pair can differ in; 0 if linked sets of these sizes are equal."""
+    """First-level parts of band i's instance: more than a linked pair can differ twice in; 0 if linked sets of these sizes are equal."""
     r = _HIGH[i]
     k = (r + r * 5 // 4) // 9
-    return k + 2 + -(-3 * r // 100) if k else 0
+    return k // 2 + 2 + -(-r // 100) if k else 0
 
 
 def slack(n: int, i: int) -> int:
-    """Parts that a set of n shingles surely agrees on with any linked partner in instance i."""
+    """Parts in which a set of n shingles surely shares a subset of cells with any linked partner in instance i."""
     partner = n * 5 // 4 if band(n) == i else _HIGH[i]
-    return parts(i) - (n + partner) // 9
+    return parts(i) - (n + partner) // 9 // 2
 
 
 def linked(inter: np.ndarray | int, n: int, m: np.ndarray | int):
@@ -76,11 +92,32 @@ def _class(u: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _partition(u: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts in use, where they start) of sorted hashes; a part is a range of the hash domain."""
-    p = ((u >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+def _partition(u: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(cells in use, where they start, weak parts: with fewer than two cells in use) of sorted hashes; a cell is a range of the hash domain."""
+    p = ((u >> np.uint64(32)) * np.uint64(n * CELLS)) >> np.uint64(32)
     at = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-    return p[at], at
+    p = p[at].astype(np.int64)
+    return p, at, int((np.bincount(p // CELLS, minlength=n) < 2).sum())
+
+
+@functools.cache
+def _names(i: int) -> np.ndarray:
+    """A number for every (part, left out cell) of instance i."""
+    with np.errstate(over="ignore"):
+        return mix(np.arange(parts(i) * CELLS, dtype=np.uint64) * np.uint64(128) + np.uint64(i))
+
+
+def _enumerate(v: np.ndarray, cells: np.ndarray, at: np.ndarray, i: int) -> np.ndarray:
+    """Signatures of instance i: of every part the subsets of cells that leave out one, as far as they hold a shingle."""
+    held = np.zeros(parts(i) * CELLS, np.uint64)
+    held[cells] = np.add.reduceat(v, at)
+    used = np.zeros(len(held), np.int64)
+    used[cells] = 1
+    held, used = held.reshape(-1, CELLS), used.reshape(-1, CELLS)
+    rest = (held.sum(1, dtype=np.uint64)[:, None] - held).reshape(-1)
+    some = (used.sum(1)[:, None] - used).reshape(-1) > 0
+    s = mix(rest[some] + _names(i)[some])
+    return (s & np.uint64(_ALL_BUT_7)) | np.uint64(i)
 
 
 def instances(n: int) -> list[int]:
@@ -90,7 +127,7 @@ def instances(n: int) -> list[int]:
 
 
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: key, set size, class hashes and empty parts in its two instances."""
+    """Per document: key, set size, class hashes and weak parts in its two instances."""
 
     def read(batches):
         for b in batches:
@@ -100,8 +137,8 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                     rows.append((0, None, None, 0, 0))
                     continue
                 own = band(len(u))
-                empty = [parts(i) - len(_partition(u, parts(i))[0]) if i >= 0 and parts(i) else 0 for i in (own, own - 1)]
-                rows.append((len(u), *_class(u), *empty))
+                weak = [_partition(u, parts(i))[2] if i >= 0 and parts(i) else 0 for i in (own, own - 1)]
+                rows.append((len(u), *_class(u), *weak))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["k", "n", "h1", "h2", "e0", "e1"])
 
@@ -161,10 +198,9 @@ def _signatures(docs: DataFrame, text: str) -> DataFrame:
                     v = mix(u ^ np.uint64(0xA4093822299F31D0))
                     own = []
                     for i in instances(len(u)):
-                        p, at = _partition(u, parts(i))
-                        s = mix(np.add.reduceat(v, at) + mix(p * np.uint64(128) + np.uint64(i)))
-                        own.append((s & np.uint64(_ALL_BUT_7)) | np.uint64(i))
-                        if parts(i) - len(p) >= slack(len(u), i):
+                        cells, at, weak = _partition(u, parts(i))
+                        own.append(_enumerate(v, cells, at, i))
+                        if weak >= slack(len(u), i):
                             own.append(mix(v ^ np.uint64(i)) | np.uint64(DIRECT))
                 if not own:
                     continue
@@ -256,7 +292,7 @@ def _slices(schema: pa.Schema, cols: list[np.ndarray], rows: int = 65536):
 
 def _numbers(spark: SparkSession) -> DataFrame:
     """Per band: its highest size and its instance's parts (some ninety rows); with no parts, one shared single shingle is due."""
-    return spark.createDataFrame([*((i, _HIGH[i], parts(i)) for i in range(len(_HIGH))), (DIRECT, 0, 0)], "inst long, high long, parts long")
+    return constants(spark, [*((i, _HIGH[i], parts(i)) for i in range(len(_HIGH))), (DIRECT, 0, 0)], "inst long, high long, parts long")
 
 
 def families(sets: DataFrame, met: DataFrame) -> DataFrame:
@@ -266,7 +302,7 @@ def families(sets: DataFrame, met: DataFrame) -> DataFrame:
     classes = sets.where("n > 0").groupBy(F.col("h1").alias("a")).agg(F.first("n").alias("n"), F.first("e0").alias("e0"), F.first("e1").alias("e1"))
     wide = met.where("kind = 1")
     shared = wide.groupBy("a", "inst").agg(F.count(F.lit(1)).alias("wide"))
-    # Parts of (class, instance) that prove nothing: empty or widely shared.
+    # Parts of (class, instance) that prove nothing: weak or with widely shared signatures.
     pairs = met.where("kind = 0").groupBy("a", "b", "na", "nb", "inst").agg(F.sum("c").alias("c")).join(numbers, "inst")
     for side in ("a", "b"):
         info = classes.select(F.col("a").alias(side), F.col("e0").alias(f"e0{side}"), F.col("e1").alias(f"e1{side}"))
@@ -274,14 +310,14 @@ def families(sets: DataFrame, met: DataFrame) -> DataFrame:
         pairs = pairs.join(info, side).join(more, [side, "inst"], "left")
         own = F.when(F.col(f"n{side}") <= F.col("high"), F.col(f"e0{side}")).otherwise(F.col(f"e1{side}"))
         pairs = pairs.withColumn(f"weak{side}", own + F.coalesce(F.col(f"w{side}"), F.lit(0)))
-    due = F.col("parts") - F.floor((F.col("na") + F.col("nb")) / 9) - F.least("weaka", "weakb")
+    due = F.col("parts") - F.floor((F.col("na") + F.col("nb")) / 18) - F.least("weaka", "weakb")
     strong = pairs.where(F.col("c") >= due).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # Classes whose empty and widely shared parts could be all that they have in common with a linked one.
+    # Classes whose weak parts and widely shared signatures could be all that they have in common with a linked one.
     at_risk = shared.join(classes, "a").join(numbers, "inst")
     inside = F.col("n") <= F.col("high")
     partner = F.when(inside, F.floor(F.col("n") * 5 / 4)).otherwise(F.col("high"))
     weak = F.when(inside, F.col("e0")).otherwise(F.col("e1")) + F.col("wide")
-    at_risk = at_risk.where(F.col("parts") - F.floor((F.col("n") + partner) / 9) <= weak).select("a", "inst")
+    at_risk = at_risk.where(F.col("parts") - F.floor((F.col("n") + partner) / 18) <= weak).select("a", "inst")
     risky = wide.join(at_risk, ["a", "inst"]).select("a", "s")
     least = risky.groupBy("s").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("g")).where("g > 1").select("s", "m")
     stars = risky.join(least, "s").select(F.col("a").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -369,101 +405,104 @@ def _small_families(members: DataFrame) -> DataFrame:
     return members.repartition("root").sortWithinPartitions("root").mapInArrow(solve, "v long, comp long")
 
 
-def _large_families(members: DataFrame, pivots: int, pivot_bytes: int) -> DataFrame:
+def _probe(batches):
+    """Per cell of a family, its pivots first: (u: class, v: pivot) of classes that link to one, and what connects the pivots."""
+    cell, names, sets, index, up = None, [], [], None, []
+
+    def links(us, vs):
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    def tree():
+        return links(*zip(*((names[x], names[y]) for x, y in enumerate(up) if x != y), strict=True)) if any(x != y for x, y in enumerate(up)) else None
+
+    for b in batches:
+        us, vs = [], []
+        for root, salt, kind, v, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (root, salt) != cell:
+                if up and (t := tree()):
+                    yield t
+                cell, names, sets, index, up = (root, salt), [], [], None, []
+            u = np.frombuffer(f, np.uint64)
+            if kind == PIVOT:
+                names.append(v)
+                sets.append(u)
+                continue
+            if index is None:
+                values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                n = np.array([len(x) for x in sets], np.int64)
+                order = np.argsort(values, kind="stable")
+                index, up = (values[order], np.repeat(np.arange(len(sets)), n)[order], n), list(range(len(sets)))
+            values, who, n = index
+            if not len(n):
+                continue
+            a, z = np.searchsorted(values, u), np.searchsorted(values, u, "right")
+            span = z - a
+            at = np.repeat(a - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(span.sum())
+            near = np.flatnonzero(linked(np.bincount(who[at], minlength=len(n)), len(u), n)).tolist()
+            # A class links to one of its pivots; that these are all connected is told once a cell.
+            for p in near[1:]:
+                x, y = _find(up, near[0]), _find(up, p)
+                up[max(x, y)] = min(x, y)
+            if near:
+                us.append(v)
+                vs.append(names[near[0]])
+        yield links(us, vs)
+    if up and (t := tree()):
+        yield t
+
+
+def _large_families(members: DataFrame, pivots: int, pivot_bytes: int, dealt: int) -> DataFrame:
     """(v, comp) of families of any size, by rounds of pivots.
 
     A round compares some classes of each unfinished family with all its
-    classes, wherever these lie, and joins what is linked.  A family is finished
-    when all its classes outside its largest component have been pivots; then
-    every pair of different components has been compared.
+    classes: these are dealt to cells, and each cell gets the pivots' sets.  A
+    family is finished when all its classes outside its largest component have
+    been pivots; then every pair of different components has been compared.
     """
-    spark = members.sparkSession
-    names = checkpointed(members.select("root", "v").distinct())  # a representative's rows may repeat
+    members = checkpointed(members.groupBy("root", "v").agg(F.first("n").alias("n"), F.first("f").alias("f")))  # a representative's rows may repeat
+    names = members.select("root", "v", "n")
+    size = names.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / dealt).alias("cells"))
     few = partitions_for(names.count())  # tables of one short row a class need few partitions
-    names = names.coalesce(few)
+    cells = checkpointed(size.coalesce(few))
+    # Written again, as the sets of unfinished families are read in each round.
+    rows = members.join(F.broadcast(cells) if cells.count() < 1 << 16 else cells, "root").select("root", F.pmod(F.xxhash64("v"), "cells").alias("salt"), F.lit(MEMBER).alias("kind"), "v", "f")
+    names = checkpointed(names.coalesce(few))
     comps = names.select("v", F.col("v").alias("comp"))
-    tried = None
+    tried, turn = None, 0
     while True:
-        now = names.join(comps, "v")
-        if tried is None:
-            rest, wanted = names, min(FIRST, pivots)
-        else:
-            sizes = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n")).coalesce(few)
-            largest = sizes.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("top")).select("root", F.col("top.comp").alias("top"))
-            rest, wanted = now.join(largest, "root").where("comp <> top").join(tried, "v", "left_anti").select("root", "v"), pivots
-        rest = checkpointed(rest.coalesce(few)) if tried is not None else rest
-        left = rest.groupBy("root").agg(F.count(F.lit(1)).alias("left"))
-        ticket = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        picked = checkpointed(rest.join(left, "root").where((ticket * F.col("left") <= wanted) | (F.col("left") <= wanted)).select("root", "v").coalesce(few))
-        wide = picked.count() > NAMED
-        index: dict[int, list[tuple[int, np.ndarray]]] = {}
-        size, taken = 0, []
-        known: set[int] = set()
-        for r in members.select("v", "f").join(picked if wide else F.broadcast(picked), "v").toLocalIterator():
-            if r.v in known:
-                continue
-            known.add(r.v)
-            index.setdefault(r.root, []).append((r.v, np.frombuffer(bytes(r.f), np.uint64)))
-            taken.append((r.v,))
-            size += len(r.f)
-            if size >= pivot_bytes:
-                break  # the others wait for a later round
-        if not taken:
+        rest = names
+        if tried is not None:
+            now = names.join(comps, "v")
+            sizes = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("m")).coalesce(few)
+            largest = sizes.groupBy("root").agg(F.max(F.struct("m", "comp")).alias("top")).select("root", F.col("top.comp").alias("top"))
+            rest = checkpointed(now.join(largest, "root").where("comp <> top").join(tried, "v", "left_anti").select("root", "v", "n").coalesce(few))
             if rest.isEmpty():
                 return comps
-            first = rest.groupBy("root").agg(F.min("v").alias("v")).limit(1)  # no ticket was low enough: any one will do
-            for r in members.select("v", "f").join(F.broadcast(first), "v").toLocalIterator():
-                index[r.root] = [(r.v, np.frombuffer(bytes(r.f), np.uint64))]
-                taken.append((r.v,))
-        shared = spark.sparkContext.broadcast(index)
-
-        def probe(batches, shared=shared):
-            flat, up = {}, {}
-            for root, own in shared.value.items():
-                values = np.concatenate([f for _, f in own])
-                who = np.repeat(np.arange(len(own)), [len(f) for _, f in own])
-                order = np.argsort(values, kind="stable")
-                flat[root] = values[order], who[order], np.array([len(f) for _, f in own]), np.array([v for v, _ in own])
-                up[root] = list(range(len(own)))
-            for b in batches:
-                us, vs = [], []
-                for r, v, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    if r not in flat:
-                        continue
-                    u = np.frombuffer(f, np.uint64)
-                    values, who, n, pivot = flat[r]
-                    a, z = np.searchsorted(values, u), np.searchsorted(values, u, "right")
-                    span = z - a
-                    at = np.repeat(a - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(span.sum())
-                    inter = np.bincount(who[at], minlength=len(n))
-                    near = np.flatnonzero(linked(inter, len(u), n)).tolist()
-                    # A class links to one of its pivots; that these are all connected is told once a task.
-                    for p in near[1:]:
-                        x, y = _find(up[r], near[0]), _find(up[r], p)
-                        up[r][max(x, y)] = min(x, y)
-                    if near:
-                        us.append(v)
-                        vs.append(int(pivot[near[0]]))
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-            tree = [(int(flat[r][3][x]), int(flat[r][3][y])) for r, ups in up.items() for x, y in enumerate(ups) if x != y]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([y for _, y in tree], pa.int64())], names=["u", "v"])
-
-        links = members.mapInArrow(probe, "u long, v long").where("u <> v")
-        joined = connected_components(links.union(comps.select(F.col("v").alias("u"), F.col("comp").alias("v"))))
-        comps = checkpointed(comps.select("v", F.col("comp").alias("_c")).join(joined.select("v", "root"), "v", "left").select("v", F.coalesce("root", "_c").alias("comp")).coalesce(few))
-        # The links are behind that checkpoint, so nothing needs this round's pivots again; driver and executors let go of them.
-        shared.destroy()
-        index.clear()
-        done = spark.createDataFrame(taken, "v long")
-        tried = checkpointed((done if tried is None else tried.union(done)).coalesce(few))
-
-
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold: int = COLD, family: int = FAMILY, pivots: int = PIVOTS, pivot_bytes: int = PIVOT_BYTES) -> DataFrame:
+        ticket = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        wanted = F.greatest(F.lit(1), F.least(F.lit(pivots if turn else min(FIRST, pivots)), F.floor(F.lit(pivot_bytes / 8) / F.max("n"))))
+        left = rest.groupBy("root").agg(F.count(F.lit(1)).alias("left"), F.min_by("v", ticket).alias("first"), wanted.alias("wanted"))
+        drawn = (F.col("v") == F.col("first")) | (ticket * F.col("left") <= F.col("wanted"))
+        picked = checkpointed(rest.join(left, "root").where(drawn).select("root", "v").coalesce(few))
+        places = picked.join(cells, "root").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("salt"))
+        dealt_out = members.join(places, "v").select("root", "salt", F.lit(PIVOT).alias("kind"), "v", "f")
+        # A finished family has no pivots, so its sets stay where they are.
+        open_ = rows.join(picked.select("root").distinct(), "root", "left_semi")
+        links = dealt_out.union(open_).repartition("root", "salt").sortWithinPartitions("root", "salt", "kind").mapInArrow(_probe, "u long, v long").where("u <> v")
+        ends = links.join(comps.select(F.col("v").alias("u"), F.col("comp").alias("a")), "u").join(comps.select("v", F.col("comp").alias("b")), "v")
+        joined = connected_components(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        comps = checkpointed(comps.join(joined.select(F.col("v").alias("comp"), "root"), "comp", "left").select("v", F.coalesce("root", "comp").alias("comp")).coalesce(few))
+        tried = picked.select("v") if tried is None else checkpointed(tried.union(picked.select("v")).coalesce(few))
+        turn += 1
+
+
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold: int = COLD, family: int = FAMILY, pivots: int = PIVOTS, pivot_bytes: int = PIVOT_BYTES, dealt: int = DEALT) -> DataFrame:
     """One row per document: key, n_shingles and component_id, the least key that links reach.
 
     Null texts and texts without words have no shingles and link with nothing;
-    repeated rows are one class.  A null key gets a row with a null component
-    and links nothing.  Empty tables give none.  Other columns are left out.
+    repeated rows are one class, and rows that repeat a key have one name.  A
+    null key gets a row with a null component and links nothing.  Texts of any
+    length are read whole.  Empty tables give none.  Other columns are left out,
+    whatever their names.
     """
     small_batches(docs.sparkSession)
     sets = checkpointed(_sets(docs, key, text))
@@ -477,7 +516,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold:
     members = checkpointed(_members(docs, key, text, chosen))
     comps = _small_families(members.where("not wide").drop("wide"))
     if not wide.isEmpty():
-        comps = comps.union(_large_families(members.where("wide").drop("wide"), pivots, pivot_bytes))
+        comps = comps.union(_large_families(members.where("wide").drop("wide"), pivots, pivot_bytes, dealt))
     comps = checkpointed(comps)
     named = comps.join(fams.select("v", "rep"), "v")
     least = named.groupBy("comp").agg(F.min("rep").alias("component"))

@@ -25,12 +25,21 @@ def _random(seed: int, n: int) -> list[int]:
     return out
 
 
-_SEPARATORS = [0x20, *range(0x09, 0x0E)]
 _VALUE = np.array(_random(7, 256), np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
-_VALUE[_SEPARATORS] = 0
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[_SEPARATORS] = False
+
+
+def alphabet(separators) -> tuple[np.ndarray, np.ndarray]:
+    """(value, part of a word) of every byte."""
+    value, is_word = _VALUE.copy(), np.ones(256, bool)
+    value[separators] = 0
+    is_word[separators] = False
+    return value, is_word
+
+
+#: Words between white space; words of letters and digits, as all other ASCII separates.
+SPACED = alphabet([0x20, *range(0x09, 0x0E)])
+ALNUM = alphabet([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _PLACE = np.array([x | 1 for x in _random(11, SIZE + 1)], np.uint64)
 _BASE = _random(13, 1)[0] | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -49,13 +58,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(raw: np.ndarray, off: np.ndarray, kind=SPACED) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, n + 1 offsets into them) of texts that fill at most one block."""
+    value, is_word = kind
     a, z = int(off[0]), int(off[-1])
     if a == z:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     b = raw[a:z]
-    word = _IS_WORD[b]
+    word = is_word[b]
     start = word.copy()
     start[1:] &= ~word[:-1]
     inner = off[:-1][np.diff(off) > 0] - a
@@ -63,20 +73,21 @@ def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(start)
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    h = np.add.reduceat(_VALUE[b] * _POWER[: len(b)], at) * _INVERSE[at]
+    h = np.add.reduceat(value[b] * _POWER[: len(b)], at) * _INVERSE[at]
     return h, np.searchsorted(at, off - a)
 
 
-def _long_words(raw: np.ndarray) -> np.ndarray:
+def _long_words(raw: np.ndarray, kind=SPACED) -> np.ndarray:
     """Word hashes of one text of any length, block by block; a word may reach over blocks."""
+    value, is_word = kind
     parts: list[np.ndarray] = []
     open_, length = 0, 0  # hash and length so far of the word that the last block ended in
     for a in range(0, len(raw), _BLOCK):
         b = raw[a : a + _BLOCK]
-        word = _IS_WORD[b]
+        word = is_word[b]
         head = int(np.argmin(word)) if not word.all() else len(b)
         if length:
-            part = int((_VALUE[b[:head]] * _POWER[:head]).sum(dtype=np.uint64)) if head else 0
+            part = int((value[b[:head]] * _POWER[:head]).sum(dtype=np.uint64)) if head else 0
             open_ = (open_ + part * pow(_BASE, length, 1 << 64)) & _MASK
             length += head
             if head == len(b):
@@ -84,9 +95,9 @@ def _long_words(raw: np.ndarray) -> np.ndarray:
             parts.append(np.array([open_], np.uint64))
             open_, length = 0, 0
             b = b[head:]
-        h, _ = _words(b, np.array([0, len(b)]))
-        if len(h) and _IS_WORD[b[-1]]:
-            tail = ~_IS_WORD[b]
+        h, _ = _words(b, np.array([0, len(b)]), kind)
+        if len(h) and is_word[b[-1]]:
+            tail = ~is_word[b]
             length = int(np.argmax(tail[::-1])) if tail.any() else len(b)
             open_, h = int(h[-1]), h[:-1]
         parts.append(h)
@@ -95,11 +106,30 @@ def _long_words(raw: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def _grams(w: np.ndarray) -> np.ndarray:
-    out = w[: len(w) - SIZE + 1] * _PLACE[0]
-    for j in range(1, SIZE):
-        out += w[j : len(w) - SIZE + 1 + j] * _PLACE[j]
-    return mix(out + _PLACE[SIZE] * np.uint64(SIZE))
+def word_runs(raw: np.ndarray, off: np.ndarray, kind=SPACED):
+    """Yields (first text, word hashes, n + 1 offsets into them) of runs of texts; a text longer than a block is a run of its own."""
+    with np.errstate(over="ignore"):
+        i, n = 0, len(off) - 1
+        while i < n:
+            j = int(np.searchsorted(off, off[i] + _BLOCK, "right")) - 1
+            if j <= i:
+                w = _long_words(raw[off[i] : off[i + 1]], kind)
+                yield i, w, np.array([0, len(w)])
+                i += 1
+            else:
+                yield i, *_words(raw, off[i : j + 1], kind)
+                i = j
+
+
+def grams(w: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n <= ``SIZE`` words."""
+    with np.errstate(over="ignore"):
+        if len(w) < n:
+            return np.zeros(0, np.uint64)
+        out = w[: len(w) - n + 1] * _PLACE[0]
+        for j in range(1, n):
+            out += w[j : len(w) - n + 1 + j] * _PLACE[j]
+        return mix(out + _PLACE[SIZE] * np.uint64(n))
 
 
 def _few(w: np.ndarray) -> np.ndarray:
@@ -112,23 +142,14 @@ def _few(w: np.ndarray) -> np.ndarray:
 def shingle_sets(raw: np.ndarray, off: np.ndarray):
     """Yields the sorted distinct shingle hashes (uint64) of every text."""
     with np.errstate(over="ignore"):
-        i, n = 0, len(off) - 1
-        while i < n:
-            j = int(np.searchsorted(off, off[i] + _BLOCK, "right")) - 1
-            if j <= i:
-                w = _long_words(raw[off[i] : off[i + 1]])
-                yield np.unique(_grams(w)) if len(w) >= SIZE else _few(w)
-                i += 1
-                continue
-            w, at = _words(raw, off[i : j + 1])
-            grams = _grams(w) if len(w) >= SIZE else None
+        for _, w, at in word_runs(raw, off):
+            own = grams(w, SIZE)
             for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if z - a >= SIZE:
-                    u = np.sort(grams[a : z - SIZE + 1])
-                    keep = np.empty(len(u), bool)
-                    keep[0] = True
-                    np.not_equal(u[1:], u[:-1], out=keep[1:])
-                    yield u[keep]
-                else:
+                if z - a < SIZE:
                     yield _few(w[a:z])
-            i = j
+                    continue
+                u = np.sort(own[a : z - SIZE + 1])
+                keep = np.empty(len(u), bool)
+                keep[0] = True
+                np.not_equal(u[1:], u[:-1], out=keep[1:])
+                yield u[keep]

@@ -85,7 +85,7 @@ l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line, ('0x' || substr(md5(ls[i + 1])
 f AS (SELECT l.*, w > 0 AND count(*) OVER (PARTITION BY h) > 1 AS again FROM l),
 r AS (SELECT *, (h + coalesce(lag(h) OVER q, 0) * 31) % 1000003 % 4 = 0 AND coalesce(lag(again) OVER q = again, false) AS roll, lag(again) OVER q AS past, lead(again) OVER q AS future, lead(again, 2) OVER q AS later FROM f WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
 c AS (SELECT *, roll AND NOT coalesce(lag(roll) OVER (PARTITION BY doc_id ORDER BY pos), false) AND coalesce(future = again, false) AND coalesce(later = again, false) AS cut FROM r),
-b AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), true) OR past <> again AS starts FROM c),
+b AS (SELECT *, coalesce(lag(cut) OVER q, true) OR past <> again OR again AND w >= 40 OR lag(again AND w >= 40) OVER q AS starts FROM c WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
 n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk FROM b),
 k AS (SELECT doc_id, chunk, min(pos) AS first, count(*) AS n, sum(w) AS w, bool_and(again) AS again, string_agg(line, chr(10) ORDER BY pos) AS body FROM n GROUP BY doc_id, chunk),
 able AS (SELECT *, count(*) OVER (PARTITION BY body) AS m, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM k WHERE again AND (n >= 2 AND w >= 12 OR w >= 40)),
