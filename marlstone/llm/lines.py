@@ -4,11 +4,12 @@ Lines are hashed, and a rolling hash over the last ``WIDTH`` line hashes ends a
 chunk where it falls on a multiple of ``DIVISOR`` (never twice in a row, nor at
 the first or last line of a run).  A chunk also ends where lines that occur once
 in the corpus meet lines that occur again, so that a repeated passage isn't
-fused with what surrounds it, and a recurring line of ``LONG_WORDS`` words or
-more is a chunk of its own, as passages of that size may be one line.  No
-boundary depends on a line's place, so an inserted line shifts no later one.
-Chunks of several lines, and those long ones, that occur again with the same
-bytes are removed everywhere but at their first place.
+fused with lines that don't.  No boundary depends on a line's place, so an
+inserted line shifts no later one.  Chunks of several lines that occur again
+with the same bytes are removed everywhere but at their first place.  A passage
+may also be a single line, and beside other recurring lines it fuses with
+different ones in each document: so lines of ``LONG_WORDS`` words or more are
+judged in the same way by themselves.
 
 Lines without words are no lines of a run: boundaries, line counts and word
 counts come from the others alone.  Those inside a chunk are part of its bytes,
@@ -47,26 +48,32 @@ def chunk_verdicts(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     rolled = (F.col("l") + before * F.lit(BASE)) % F.lit(PRIME) % F.lit(DIVISOR) == 0
     # A cut needs a line of its own kind before it, two after it, and no cut candidate just before in its run.
     near = lambda f, n=1: F.coalesce(f("again", n).over(doc) == F.col("again"), F.lit(False))
-    rolls = flagged.withColumn("roll", rolled & near(F.lag)).withColumn("long", F.col("again") & (F.col("w") >= long_words))
+    rolls = flagged.withColumn("roll", rolled & near(F.lag))
     ends = rolls.withColumn("cut", F.col("roll") & ~F.coalesce(F.lag("roll").over(doc), F.lit(False)) & near(F.lead) & near(F.lead, 2))
-    starts = F.coalesce(F.lag("cut").over(doc), F.lit(True)) | (F.lag("again").over(doc) != F.col("again")) | F.col("long") | F.lag("long").over(doc)
+    starts = F.coalesce(F.lag("cut").over(doc), F.lit(True)) | (F.lag("again").over(doc) != F.col("again"))
     # Where removal ends: before the run's next line, so that lines without words go too, or after the run's last line.
     until = F.when(near(F.lead), F.lead("pos").over(doc)).otherwise(F.col("pos") + 1)
     numbered = ends.withColumns({"chunk": F.sum(starts.cast("int")).over(doc), "until": until})
     # A document's lines are already together, so this aggregation moves nothing.
-    chunks = numbered.groupBy("k", "h", "chunk").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("lines"), (F.max("until") - F.min("pos")).alias("n"), (F.max("pos") - F.min("pos") + 1).alias("size"), F.sum("w").alias("w"), F.min("again").alias("again"), F.sort_array(F.collect_list(F.struct("pos", "l"))).alias("ls"))
-    able = chunks.where(F.col("again") & ((F.col("lines") >= min_lines) & (F.col("w") >= min_words) | (F.col("w") >= long_words)))
-    able = checkpointed(able.select("k", "h", "first", "n", "size", F.xxhash64(F.transform("ls", lambda x: x["l"])).alias("ch")))
+    chunks = numbered.where("again").groupBy("k", "h", "chunk").agg(F.min("pos").alias("c"), F.sum("w").alias("w"), F.sort_array(F.collect_list(F.struct("pos", "l", "w", "until"))).alias("ls"))
+    several = (F.size("ls") >= min_lines) & (F.col("w") >= min_words) | (F.col("w") >= long_words)
+    unit = lambda ls, whole: F.struct(ls[0]["pos"].alias("first"), (F.element_at(ls, -1)["until"] - ls[0]["pos"]).alias("n"), (F.element_at(ls, -1)["pos"] - ls[0]["pos"] + 1).alias("size"), F.xxhash64(F.transform(ls, lambda x: x["l"])).alias("ch"), F.lit(whole).alias("whole"))
+    wholes = F.when(several, F.array(unit(F.col("ls"), True))).otherwise(F.array().cast("array<struct<first:int,n:int,size:int,ch:bigint,whole:boolean>>"))
+    longs = F.transform(F.filter("ls", lambda x: (x["w"] >= long_words) & (F.size("ls") > 1)), lambda x: unit(F.array(x), False))
+    able = checkpointed(chunks.select("k", "h", "c", F.inline(F.concat(wholes, longs))))
     twice = checkpointed(able.groupBy("ch").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ch"))
-    runs = able.join(twice, "ch", "left_semi").groupBy("k", "h").agg(F.collect_list(F.struct("first", "n", "size")).alias("runs"))
-    # Byte comparison: chunks meet on their bytes, and the least (key, place) owns each text.
+    runs = able.join(twice, "ch", "left_semi").groupBy("k", "h").agg(F.collect_list(F.struct("first", "n", "size", "c", "whole")).alias("runs"))
+    # Byte comparison: units meet on their bytes, and the least (key, place) owns each text.
     met = docs.join(runs, ["k", "h"])
-    bodies = met.select("k", "h", F.explode("runs").alias("r"), F.split("t", "\n").alias("ls")).select("k", "h", "r.first", "r.n", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.size")), "\n").alias("body"))
-    places = bodies.groupBy("k", "h", "first", "n").agg(F.first("body").alias("body"))
-    # Grouped by the digest too, owners are dealt anew for the join, which is then a plain one: Spark splits a hot chunk's places.
+    bodies = met.select("k", "h", F.explode("runs").alias("r"), F.split("t", "\n").alias("ls")).select("k", "h", "r.first", "r.n", "r.c", "r.whole", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.size")), "\n").alias("body"))
+    places = bodies.groupBy("k", "h", "first", "n", "c", "whole").agg(F.first("body").alias("body"))
+    # Grouped by the digest too, owners are dealt anew for the join, which is then a plain one: Spark splits a hot unit's places.
     owner = places.groupBy(F.md5("body").alias("d"), "body").agg(F.min(F.struct("k", "h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select("body", "o")
     lost = places.join(owner, "body").where(F.struct("k", "h", "first") != F.col("o"))
-    return lost.groupBy("k", "h").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
+    # A chunk that goes takes its long lines along.
+    of = lambda whole: F.collect_list(F.when(F.col("whole") == whole, F.struct("first", "n")))
+    by_chunk = lost.groupBy("k", "h", "c").agg(of(True).alias("all"), of(False).alias("some")).select("k", "h", F.when(F.size("all") > 0, F.col("all")).otherwise(F.col("some")).alias("runs"))
+    return by_chunk.groupBy("k", "h").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:

@@ -85,13 +85,16 @@ l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line, ('0x' || substr(md5(ls[i + 1])
 f AS (SELECT l.*, w > 0 AND count(*) OVER (PARTITION BY h) > 1 AS again FROM l),
 r AS (SELECT *, (h + coalesce(lag(h) OVER q, 0) * 31) % 1000003 % 4 = 0 AND coalesce(lag(again) OVER q = again, false) AS roll, lag(again) OVER q AS past, lead(again) OVER q AS future, lead(again, 2) OVER q AS later FROM f WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
 c AS (SELECT *, roll AND NOT coalesce(lag(roll) OVER (PARTITION BY doc_id ORDER BY pos), false) AND coalesce(future = again, false) AND coalesce(later = again, false) AS cut FROM r),
-b AS (SELECT *, coalesce(lag(cut) OVER q, true) OR past <> again OR again AND w >= 40 OR lag(again AND w >= 40) OVER q AS starts FROM c WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT *, coalesce(lag(cut) OVER q, true) OR past <> again AS starts FROM c WINDOW q AS (PARTITION BY doc_id ORDER BY pos)),
 n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk FROM b),
 k AS (SELECT doc_id, chunk, min(pos) AS first, count(*) AS n, sum(w) AS w, bool_and(again) AS again, string_agg(line, chr(10) ORDER BY pos) AS body FROM n GROUP BY doc_id, chunk),
-able AS (SELECT *, count(*) OVER (PARTITION BY body) AS m, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM k WHERE again AND (n >= 2 AND w >= 12 OR w >= 40)),
-lost AS (SELECT doc_id, chunk, n FROM able WHERE place > 1),
-kept AS (SELECT n.doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM n ANTI JOIN lost ON n.doc_id = lost.doc_id AND n.chunk = lost.chunk GROUP BY n.doc_id),
-gone AS (SELECT doc_id, sum(n) AS nl, count(*) AS nc FROM lost GROUP BY doc_id)
+units AS (SELECT doc_id, chunk, true AS whole, first, n, body FROM k WHERE again AND (n >= 2 AND w >= 12 OR w >= 40)
+          UNION ALL SELECT doc_id, chunk, false, n.pos, 1, line FROM n JOIN (SELECT doc_id, chunk FROM k WHERE n > 1) USING (doc_id, chunk) WHERE again AND w >= 40),
+able AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM units),
+lost AS (SELECT doc_id, chunk, n FROM able WHERE whole AND place > 1),
+long AS (SELECT doc_id, first, n FROM able ANTI JOIN lost USING (doc_id, chunk) WHERE NOT whole AND place > 1),
+kept AS (SELECT n.doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM n ANTI JOIN lost ON n.doc_id = lost.doc_id AND n.chunk = lost.chunk ANTI JOIN long ON n.doc_id = long.doc_id AND n.pos = long.first GROUP BY n.doc_id),
+gone AS (SELECT doc_id, sum(n) AS nl, count(*) AS nc FROM (SELECT doc_id, n FROM lost UNION ALL SELECT doc_id, n FROM long) GROUP BY doc_id)
 SELECT documents.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(nl, 0)::BIGINT AS n_removed_lines,
        coalesce(nc, 0)::BIGINT AS n_removed_chunks, CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(t, '')) END AS text_sha256,
        CASE WHEN text IS NULL THEN NULL ELSE length(coalesce(t, '')) END::BIGINT AS n_chars
