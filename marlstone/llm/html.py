@@ -2,8 +2,11 @@
 
 Pass 1 parses every page, hashes its element subtrees and counts, in Spark, on
 how many pages of different content each subtree occurs per host.  Pass 2 parses
-again, deletes the subtrees that recur on much of their host, and the elements
-whose role is not article text, and reads off the blocks that are left.
+again and deletes the subtrees that recur on much of their host.  What templates
+can't tell, as it differs from page to page, goes by the role that the markup
+states: elements such as nav and footer, ARIA roles, and containers (never
+running text) whose class or id names such a role.  The blocks that are left in
+the page's articles, or in the page if it marks none, are the text.
 
 Inside an article, running text (paragraphs, headings, list items, ...) is never
 deleted for recurring, as copies and quotes recur too; only containers are.
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,6 +34,9 @@ FULL_SHARE_PAGES = 100
 #: Most hashes and hosts of a template table that is broadcast (8 bytes, and some 60); beyond, pages meet it in a sort-merge join.
 BROADCAST_TREES, BROADCAST_HOSTS = 1 << 20, 1 << 17
 
+#: Implied and stray ends reach over so many open elements at most (browsers nest no deeper than that).
+REACH = 512
+
 # Element names of the HTML standard by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
@@ -38,7 +45,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th tr caption".split())
 MAIN = frozenset("article main".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
-#: Words of class and id names that mark what isn't article text.
+#: Words of class and id names that mark containers of what isn't article text.
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "footer header masthead notice cookie cookies consent gdpr comment comments reply replies respond discussion share sharing social related recommended "
@@ -49,8 +56,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: What such an implied end can't reach beyond.
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
+# Possessive, and a tag ends at the next "<" outside quotes, so that no part of a page is scanned again and again.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.S)
 _SPACE = re.compile(r"\s+")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -69,20 +77,26 @@ def _unwanted(name: str, attributes: str) -> bool:
         return False
     for key, *values in _ATTR.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key == "role" and value.strip().lower() in DROP_ROLES:
+        if key == "hidden" or key == "role" and value.strip().lower() in DROP_ROLES:
             return True
-        if key in ("class", "id") and not DROP_WORDS.isdisjoint(w.lower() for w in _NAME_WORD.findall(value)):
+        if key in ("class", "id") and name not in FLOW and name not in INLINE and not DROP_WORDS.isdisjoint(w.lower() for w in _NAME_WORD.findall(value)):
             return True
         if key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", _ATTR.sub(" ", attributes)))
+    return False
 
 
 def parse(page: str) -> Node:
     """A tree of the page, however it is nested; unclosed elements end with their parents."""
     root = Node("#root")
     stack = [root]
+    open_: Counter[str] = Counter()
     at = 0
+
+    def close(i: int) -> None:
+        open_.subtract(n.name for n in stack[i:])
+        del stack[i:]
+
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -97,15 +111,15 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, max(0, len(stack) - 1 - REACH), -1) if open_[name] > 0 else ():
                 if stack[i].name == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name in MAIN | {"body"} and name in INLINE | FLOW:
                     break  # a stray end tag doesn't reach out of the article
             continue
-        if name not in INLINE:
-            _imply_ends(stack, name)
+        if name not in INLINE and (i := _implied_end(stack, open_, name)):
+            close(i)
         node = Node(name, _unwanted(name, m[3]))
         stack[-1].children.append(node)
         if name in RAW and not (name in ("svg", "math") and m[3].rstrip().endswith("/")):
@@ -113,17 +127,21 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif name not in VOID and not (m[3].rstrip().endswith("/") and name not in FLOW | INLINE | MAIN | {"div", "section"}):
             stack.append(node)
+            open_[name] += 1
 
 
-def _imply_ends(stack: list[Node], name: str) -> None:
+def _implied_end(stack: list[Node], open_: Counter[str], name: str) -> int:
+    """The place of the open element that an opening tag ends, or 0."""
     ends, fence = CLOSES.get(name), FENCE.get(name, ())
-    for i in range(len(stack) - 1, 0, -1):
+    if not any(open_[x] > 0 for x in ends or ("p",)):
+        return 0
+    for i in range(len(stack) - 1, max(0, len(stack) - 1 - REACH), -1):
         n = stack[i].name
         if ends and n in ends or n == "p" and not ends:
-            del stack[i:]
-            return
+            return i
         if n in fence or n not in INLINE and n not in FLOW and not ends:
-            return
+            return 0
+    return 0
 
 
 def _hashes(node: Node, into: list[tuple[Node, bytes]], inside: bool) -> tuple[bytes, bool]:
@@ -160,13 +178,20 @@ def subtrees(page: str) -> tuple[int, list[int]]:
 
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     """The article's blocks, joined by blank lines."""
+    return extracted(page, templates)[0]
+
+
+def extracted(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[str, int]:
+    """(main text, number of subtrees deleted as templates)."""
     root = parse(page or "")
+    n_templates = 0
     if templates:
         own: list[tuple[Node, bytes]] = []
         _hashes(root, own, False)
         for node, d in own:
             if int.from_bytes(d, "big", signed=True) in templates:
                 node.drop = True
+                n_templates += 1
     tops, queue = [], [root]
     while queue:  # the outermost articles, in page order
         n = queue.pop()
@@ -202,15 +227,17 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
                 work.append(None)
                 work += reversed(n.children)
         flush()
-    return "\n\n".join(blocks)
+    return "\n\n".join(blocks), n_templates
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_trees: int = BROADCAST_TREES) -> DataFrame:
-    """key, url, text and n_chars of every page.
+    """key, url, text, n_chars and n_templates (subtrees deleted for recurring) of every page.
 
     Null html gives empty text.  Pages with a null or malformed url make up one
     host "".  Pages of equal content count once, so copies don't turn articles
-    into templates.  Repeated rows get a row each; empty tables none.
+    into templates.  Repeated rows get a row each; empty tables none.  Pages of
+    any length are read whole, in time that grows with it; a null key is kept;
+    other columns are left out, whatever their names.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("x"), split_url(F.col(url))[0].alias("host"))
@@ -237,11 +264,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 t = tuple(trees or ())
                 if t not in known:
                     known = {t: frozenset(t)}
-                out.append(main_text(x, known[t]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["k", "u", "text", "n_chars"])
+                out.append(extracted(x, known[t]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([len(o[0]) for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["k", "u", "text", "n_chars", "n_templates"])
 
     kind = dict(pages.dtypes)
     size = templates.agg(F.count(F.lit(1)).alias("hosts"), F.sum(F.size("trees")).alias("trees")).head()
     few = size.hosts <= BROADCAST_HOSTS and (size.trees or 0) <= broadcast_trees
     joined = rows.join(templates.hint("broadcast" if few else "merge"), "host", "left").select("k", "u", "x", "trees")
-    return joined.mapInArrow(read, f"k {kind[key]}, u string, text string, n_chars long").select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars")
+    return joined.mapInArrow(read, f"k {kind[key]}, u string, text string, n_chars long, n_templates long").select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars", "n_templates")

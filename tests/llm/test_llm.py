@@ -100,25 +100,40 @@ def test_html_templates_of_a_large_host(spark):
 
 
 def test_urls(spark):
-    rows = [(0, "http://A.example.net/en/1?x"), (1, "http://example.net"), (2, "https://b.example.com/de/"), (3, None), (4, "no scheme"), (5, "x://badexample.com/de/"), (6, "http://spam.org/fr/1"), (7, "http://spam.org/1")]
-    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
+    rows = [(0, "http://A.example.net/en/1?x"), (1, "http://example.net"), (2, "https://b.example.com/de/"), (3, None), (4, "no scheme"), (5, "x://badexample.com/de/"), (6, "http://spam.org/fr/1"), (7, "http://spam.org/1"), (8, "http://x.spam.org"), (9, "http://net/" + "a" * 100_000)]
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("_best", F.lit("mine"))
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-    for bits in (urls.MAX_FILTER_BITS, 1):
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, rules, ["spam.org"], max_filter_bits=bits).collect()}
+    for hosts in (["spam.org"], spark.createDataFrame([("spam.org",), (None,), ("spam.org",)], "h string")):
+        judged = urls.filter_urls(df, rules, hosts).collect()
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judged}
+        assert len(judged) == 11 and {r["_best"] for r in judged} == {"mine"}
         assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow")
         assert got[1] == ("example.net", "", None, "allow") and got[2][2:] == ("example.com/de/", "block")
         assert got[3] == got[4] == ("", "", None, "allow") and got[5][2] is None
-        assert got[6][2:] == ("org/fr/", "allow") and got[7][2:] == (None, "block")
+        assert got[6][2:] == ("org/fr/", "allow") and got[7][2:] == (None, "block") and got[8][2:] == (None, "block")
+        assert got[9][1:] == ("/" + "a" * 100_000, "net/", "block")
+    assert urls.filter_urls(df.limit(0), rules, ["spam.org"]).count() == 0
+    assert {r.verdict for r in urls.filter_urls(df, [], []).collect()} == {"allow"}
+    with pytest.raises(ValueError, match="bound"):
+        urls.filter_urls(df, rules, ["spam.org"], max_filter_bits=1)
 
 
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).select(F.col("id").cast("string").alias("key"))
     listed = universe.where("key % 37 = 0")
-    c = urls.Cascade(listed, universe, 5000)
+    c = urls.Cascade(listed, universe)
     assert len(c.levels) > 1
     assert universe.where(c.contains(F.col("key")) != (F.col("key").cast("int") % 37 == 0)).count() == 0
 
 
+def test_cascade_of_a_million_keys(spark):
+    """A long list, most of it unseen, is held by the same cascade."""
+    listed = spark.range(1_000_000).select(F.concat(F.lit("host"), F.col("id") * 2, F.lit(".org")).alias("key"))
+    pages = spark.range(20_000).select("id", F.concat(F.lit("http://www.host"), F.col("id"), F.lit(".org/x")).alias("url"))
+    got = urls.filter_urls(pages, [], listed)
+    assert got.where((F.col("verdict") == "block") != (F.col("id") % 2 == 0)).count() == 0
+
+
 def test_shards(spark):
     df = docs(spark, [None, "", "é"] + [f"t{i}" for i in range(997)])
     got = shards.shard(df, "doc_id", "text", [1.0] * 5 + [3.0], grown=1.0).collect()
