@@ -39,18 +39,27 @@ SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,
 
 SQL["op7_chat_formatting"] = r"""
 WITH t AS (
-  SELECT conv_id, coalesce(turn, 0) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-s AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+  SELECT conv_id, coalesce(turn, 0) AS turn, regexp_replace(replace(replace(role, '<|', '< |'), '|>', '| >'), '[\r\n]+', ' ', 'g') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text) - 1 AS q, count(*) OVER (PARTITION BY conv_id) AS total FROM t),
+d AS (
+  SELECT conv_id, role, text, q, q // 1024 AS part, false AS carried FROM k
+  UNION ALL SELECT conv_id, role, text, q, q // 1024 + 1, true FROM k WHERE q % 1024 >= 992 AND total > (q // 1024 + 1) * 1024),
+f AS (
+  SELECT p.conv_id, k.role, k.text, k.q, p.part, true AS carried
+  FROM (SELECT DISTINCT conv_id, part FROM d WHERE part > 0) p JOIN k ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND k.role = 'system' AND k.q < p.part * 1024 - 32
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id, p.part ORDER BY k.q DESC) = 1),
+a AS (SELECT * FROM d UNION ALL SELECT * FROM f),
+s AS (SELECT DISTINCT conv_id, part, role AS participant FROM d WHERE NOT carried AND role IS DISTINCT FROM 'system'),
 r AS (
-  SELECT t.conv_id, turn // 256 AS part, participant, turn, role, text, role = participant AS own,
-         CASE WHEN role = participant THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head,
+  SELECT a.conv_id, a.part, participant, q, carried, text, NOT carried AND role IS NOT DISTINCT FROM participant AS own,
+         CASE WHEN role IS NOT DISTINCT FROM participant THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' WHEN role IS NULL THEN '<|user|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
          text || '<|end|>' AS body
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+  FROM a JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.part = s.part),
 o AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, participant ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r)
-SELECT conv_id, part, participant, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_assistant,
-       string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
-       coalesce(string_agg((start::BIGINT)::VARCHAR || ':' || ((start + length(body))::BIGINT)::VARCHAR, ';' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask_spans
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, participant ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r)
+SELECT conv_id, part, participant, count(*) FILTER (WHERE NOT carried) AS n_turns, count(*) FILTER (WHERE own) AS n_assistant, count(*) FILTER (WHERE carried) AS n_carried,
+       string_agg(head || body || chr(10), '' ORDER BY q) AS text,
+       coalesce(string_agg((start::BIGINT)::VARCHAR || ':' || ((start + length(body))::BIGINT)::VARCHAR, ';' ORDER BY q) FILTER (WHERE own), '') AS mask_spans
 FROM o GROUP BY conv_id, part, participant
 """
 

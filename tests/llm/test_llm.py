@@ -274,14 +274,44 @@ def test_pack(spark):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and r.length <= 2048 for r in got)
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
 def test_chat(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi <|x"), (1, 2, "bob", None), (None, None, None, "q"), (2, 0, "system", "only")]
-    got = {(r.conv_id, r.participant): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, "ann"), (1, "bob"), (None, "unknown")}
+    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi <|x"), (1, 2, "bob", None), (None, None, None, "q"), (2, 0, "system", "only"), (3, 0, "bob|>\nhello", "x"), (3, 1, None, "y"), (3, 2, "unknown", "z"), (3, 2, "unknown", "z")]
+    got = {(r.conv_id, r.participant): r for r in chat.rotate(spark.createDataFrame(rows, TURNS).withColumn("part", F.lit("clash"))).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (None, None), (3, "bob| > hello"), (3, None), (3, "unknown")}
     r = got[1, "ann"]
     assert r.text == "<|system|>\ns<|end|>\n<|assistant|>\nhi < |x<|end|>\n<|user name=bob|>\n<|end|>\n"
     a, z = map(int, r.mask_spans.split(":"))
     assert r.text[a:z] == "hi < |x<|end|>"
+    assert got[3, "unknown"].text == "<|user name=bob| > hello|>\nx<|end|>\n<|user|>\ny<|end|>\n<|assistant|>\nz<|end|>\n<|assistant|>\nz<|end|>\n"
+    assert got[3, None].mask_spans.count(":") == 1 and got[3, "unknown"].n_assistant == 2
+    assert chat.rotate(spark.createDataFrame([], TURNS)).count() == 0
+
+
+@pytest.mark.parametrize("size", [{}, {"part": 100, "carry": 7}])
+def test_chat_of_many_turns(spark, size):
+    """Every turn is rendered once, and a later part opens with the scene in force and the turns before it."""
+    said = [(1, n * 1000, "system" if n in (0, 150) else "abc"[n % 3], f"t{n}") for n in range(330)] + [(2, n, "ann", f"u{n}") for n in range(5)]
+    part, carry = size.get("part", chat.PART), size.get("carry", chat.CARRY)
+    got = {(r.conv_id, r.part, r.participant): r for r in chat.rotate(spark.createDataFrame(said, TURNS), **size).collect()}
+    want = {}
+    for conv in (1, 2):
+        own = [(r, t) for c, _, r, t in said if c == conv]
+        for p in range(-(-len(own) // part)):
+            start = max(0, p * part - carry)
+            scene = [x for x in own[:start] if x[0] == "system"][-1:]
+            shown = [(*x, True) for x in scene + own[start : p * part]] + [(*x, False) for x in own[p * part : (p + 1) * part]]
+            for who in {r for r, _, c in shown if not c} - {"system"}:
+                text, spans = "", []
+                for r, t, c in shown:
+                    text += "<|assistant|>\n" if r == who else "<|system|>\n" if r == "system" else f"<|user name={r}|>\n"
+                    if r == who and not c:
+                        spans.append(f"{len(text)}:{len(text) + len(t) + 7}")
+                    text += t + "<|end|>\n"
+                want[conv, p, who] = text, ";".join(spans), sum(not c for *_, c in shown)
+    assert {k: (r.text, r.mask_spans, r.n_turns) for k, r in got.items()} == want
 
 
 def contamination_brute_force(text, items, window=13):
