@@ -320,8 +320,11 @@ def families(sets: DataFrame, met: DataFrame) -> DataFrame:
     at_risk = at_risk.where(F.col("parts") - F.floor((F.col("n") + partner) / 18) <= weak).select("a", "inst")
     risky = wide.join(at_risk, ["a", "inst"]).select("a", "s")
     least = risky.groupBy("s").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("g")).where("g > 1").select("s", "m")
-    stars = risky.join(least, "s").select(F.col("a").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    return connected_components(strong.union(stars))
+    # A class is tied to the least of its groups' least classes, and these among each other: an edge a class, not one a signature.
+    stars = risky.join(least, "s").select("a", "m").distinct()
+    tied = stars.groupBy("a").agg(F.min("m").alias("v"))
+    ties = stars.join(tied, "a").select(F.col("m").alias("u"), "v").distinct().union(tied.select(F.col("a").alias("u"), "v")).where("u <> v")
+    return connected_components(strong.union(ties))
 
 
 def _find(root: list[int], x: int) -> int:
