@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sessions feed Python in small batches, so that long texts cannot pile up.
-ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
+#: Sessions read texts and feed Python in small batches, so that long texts cannot pile up.
+READ_ROWS, ARROW_ROWS, ARROW_BYTES = 512, 1024, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,9 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches handed to Python workers by rows and by bytes."""
+    """Bound the batches that scans fill by rows, and the Arrow batches handed to Python workers by rows and by bytes."""
     ship_code(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
