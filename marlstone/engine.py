@@ -12,6 +12,7 @@ from .plans.binder import Binder, BoundSelect
 from .plans.parser import CreateTable, Insert, Select, parse
 from .sources import parquet
 from .sources.catalog import Catalog
+from .sources.inline import inline
 from .types import SqlType
 
 
@@ -41,26 +42,32 @@ class Engine:
             self.catalog.create(q.table, [(n, SqlType(t, k)) for n, t, k in q.columns])
         return self.spark.createDataFrame([], "ok boolean")
 
+    def values(self, name: str, columns: list[tuple[str, SqlType]], rows: list[tuple]) -> DataFrame:
+        """An inline table: checked and converted rows, to be queried by ``name``."""
+        df = inline(self.spark, columns, rows)
+        self.catalog.register(name, df)
+        return df
+
     def sizes(self, q: BoundSelect) -> dict[str, float] | None:
         """Estimated rows of each filtered relation, if all have statistics."""
-        if any(t not in self.catalog.stats for t in q.tables.values()):
+        own = {t: self.catalog.statistics(t) for t in q.tables.values()}
+        if None in own.values():
             return None
         out = {}
         for binding, table in q.tables.items():
-            s = self.catalog.stats[table]
             conditions = [planner.condition(x) for x in q.filters.get(binding, ())]
             whole = None
             for c in conditions:
                 whole = c if whole is None else whole & c
-            out[binding] = float(estimate.estimate(s["sample"].alias(binding), whole, s["cardinality"]))
+            out[binding] = float(estimate.estimate(own[table]["sample"].alias(binding), whole, own[table]["cardinality"]))
         return out
 
     def demo(self) -> None:
         """Two small tables to try the shell with."""
         for sql in (
-            "CREATE TABLE people (id INT, name VARCHAR(255), age INT)", "CREATE TABLE cars (id INT, model VARCHAR(255), owner_id INT)",
-            "INSERT INTO people VALUES (1, 'Ada', 20)", "INSERT INTO people VALUES (2, 'Ben', 30)", "INSERT INTO people VALUES (3, 'Cleo', NULL)",
-            "INSERT INTO cars VALUES (1, 'Coupe', 1)", "INSERT INTO cars VALUES (2, 'Van', 2)",
+            "CREATE TABLE river (name VARCHAR(40), km INT, mouth VARCHAR(40))", "CREATE TABLE bridge (title VARCHAR(60), river VARCHAR(40), opened SMALLINT, metres INT)",
+            "INSERT INTO river VALUES ('Elbe', 1094, 'North Sea')", "INSERT INTO river VALUES ('Tajo', 1007, 'Atlantic')", "INSERT INTO river VALUES ('Inn', 517, NULL)", "INSERT INTO river VALUES ('Loire', 1006, 'Atlantic')",
+            "INSERT INTO bridge VALUES ('Blaues Wunder', 'Elbe', 1893, 280)", "INSERT INTO bridge VALUES ('25 de Abril', 'Tajo', 1966, 2277)", "INSERT INTO bridge VALUES ('Saint-Nazaire', 'Loire', 1975, 3356)", "INSERT INTO bridge VALUES ('Vasco da Gama', 'Tajo', 1998, 12345)",
         ):
             self.query(sql)
 

@@ -1,7 +1,8 @@
 """Counting HyperLogLog as a relation (bucket, lz, cnt): mergeable, and values can be deleted.
 
 A value's hash is the first 48 bits of the md5 of its text: 6 bits choose one of
-64 buckets, lz are the leading zeros of the other 42.  Counts are exact.
+64 buckets, lz are the leading zeros of the other 42.  Counts are exact.  The
+sketches of a table's columns are one relation, with an ``attribute`` in front.
 """
 
 from __future__ import annotations
@@ -26,18 +27,32 @@ def counters(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(bucket.alias("bucket"), lz.alias("lz")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def table_counters(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(attribute, bucket, lz, cnt) of several columns in one pass; the row of a null attribute has the number of rows."""
+    none = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("int")
+    facts = [F.struct(none[0].alias("attribute"), none[1].alias("bucket"), none[2].alias("lz"))]
+    for c in columns:
+        bucket, lz = _bucket_and_zeros(F.col(f"`{c}`"))
+        facts.append(F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(c).alias("attribute"), bucket.alias("bucket"), lz.alias("lz"))))
+    rows = df.select(F.explode(F.array(*facts)).alias("f")).where("f is not null").select("f.*")
+    return rows.groupBy("attribute", "bucket", "lz").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _names(sketch: DataFrame) -> list[str]:
+    return [c for c in sketch.columns if c != "cnt"]
+
+
 def merge(*sketches: DataFrame) -> DataFrame:
     out = sketches[0]
     for s in sketches[1:]:
         out = out.unionByName(s)
-    return out.groupBy("bucket", "lz").agg(F.sum("cnt").alias("cnt"))
+    return out.groupBy(*_names(out)).agg(F.sum("cnt").alias("cnt"))
 
 
 def delete(sketch: DataFrame, removed: DataFrame) -> DataFrame:
     """The sketch without ``removed``'s values; counts never fall below 0."""
-    minus = removed.select("bucket", "lz", (-F.col("cnt")).alias("cnt"))
-    left = merge(sketch, minus)
-    return left.select("bucket", "lz", F.greatest("cnt", F.lit(0)).cast("long").alias("cnt")).where("cnt > 0")
+    left = merge(sketch, removed.withColumn("cnt", -F.col("cnt")))
+    return left.withColumn("cnt", F.greatest("cnt", F.lit(0)).cast("long")).where("cnt > 0")
 
 
 def update(sketch: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def merge(a: DataFrame, b: DataFrame, keys: list[str], size: int = SIZE) -> Data
     return a.unionByName(b).orderBy("__hash__", *keys).limit(size)
 
 
-def without(sample: DataFrame, removed: DataFrame, base: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
-    """The sample after deletions: refilled from ``base`` (the table after the deletion) only if sampled rows went."""
-    left = sample.join(removed.select(*keys), keys, "left_anti")
-    return left if left.count() == sample.count() else bottom_k(base, keys, size)
+def remaining(sample: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """The sampled rows that aren't among ``removed``; a sample that loses none stays one, else it is drawn anew."""
+    gone = removed.select(key_hash(keys).alias("__hash__"))
+    return sample.join(gone, "__hash__", "left_anti").select(sample.columns)

@@ -11,6 +11,7 @@ from ..engine import Engine
 from ..functions import estimate, hll, sample
 from ..operators import dml
 from ..sources.parquet import read
+from ..types import SqlType
 
 #: SELECTs that engine and oracle run from the same text, with the output names where relations are aliased.
 SELECTS: dict[str, tuple[str, str | None]] = {
@@ -108,11 +109,16 @@ def hll_merge(spark, sf_dir):
     return hll.merge(hll.counters(o.where("o_orderkey <= 1000"), "o_custkey"), hll.counters(o.where("o_orderkey > 1000"), "o_custkey"))
 
 
-@_registered(_counters())
+@_registered(_counters().replace("o_custkey AS VARCHAR", "CASE WHEN o_orderkey <= 1000 THEN o_custkey + 100000 ELSE o_custkey END AS VARCHAR"))
 def hll_update(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    some = hll.counters(o.where("o_orderkey <= 1000"), "o_custkey")
-    return hll.update(hll.counters(o, "o_custkey"), some, some)
+    some = o.where("o_orderkey <= 1000")
+    return hll.update(hll.counters(o, "o_custkey"), hll.counters(some, "o_custkey"), hll.counters(some.withColumn("o_custkey", F.col("o_custkey") + 100000), "o_custkey"))
+
+
+@_registered(_counters("WHERE o_orderkey % 7 <> 0"))
+def hll_skips_null(spark, sf_dir):
+    return hll.counters(read(spark, sf_dir, "orders").withColumn("o_custkey", F.expr("if(o_orderkey % 7 = 0, NULL, o_custkey)")), "o_custkey")
 
 
 @_registered("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 1024")
@@ -133,17 +139,47 @@ def table_cardinality(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("cardinality"))
 
 
-@_registered("SELECT * FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) AS v(a, b)")
+_INLINE = [(1, "a", 1), (2, None, 3), (3, "c", None), (4, "d", 4)]
+_KINDS = [("a", SqlType("INT")), ("b", SqlType("VARCHAR", 5)), ("c", SqlType("BIGINT"))]
+_VALUES = "(VALUES (1, 'a', 1::BIGINT), (2, NULL, 3), (3, 'c', NULL), (4, 'd', 4)) AS v(a, b, c)"
+
+
+def _inline(spark: SparkSession, sql: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.values("v", _KINDS, _INLINE)
+    return engine.query(sql)
+
+
+@_registered(f"SELECT * FROM {_VALUES}")
 def inline_values(spark, sf_dir):
-    return spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "a int, b string")
+    return _inline(spark, "SELECT * FROM v")
+
+
+@_registered(f"SELECT a, b FROM {_VALUES} WHERE a = c")
+def filter_null_equality(spark, sf_dir):
+    return _inline(spark, "SELECT a, b FROM v WHERE a = c")
+
+
+@_registered(f"SELECT a FROM {_VALUES} WHERE b <> 'a' OR c < 4")
+def filter_null_or(spark, sf_dir):
+    return _inline(spark, "SELECT a FROM v WHERE b <> 'a' OR c < 4")
+
+
+def _copy(spark: SparkSession, sf_dir: str, name: str, source: str, columns: str) -> Engine:
+    """An engine with a new table ``name``, filled from a Parquet table."""
+    engine = Engine(spark, "marlstone_tables")
+    spark.sql(f"DROP TABLE IF EXISTS marlstone_tables.{name}")
+    engine.query(f"CREATE TABLE {name} ({columns})")
+    dml.append(engine.catalog, name, read(spark, sf_dir, source))
+    return engine
+
+
+_NATION = "n_nationkey INT, n_name VARCHAR(40), n_regionkey INT"
 
 
 @_registered("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'ATLANTIS'")
 def insert_roundtrip(spark, sf_dir):
-    engine = Engine(spark, "marlstone_roundtrip")
-    spark.sql("DROP TABLE IF EXISTS marlstone_roundtrip.region_copy")
-    engine.query("CREATE TABLE region_copy (r_regionkey INT, r_name VARCHAR(40), PRIMARY KEY (r_regionkey))")
-    dml.append(engine.catalog, "region_copy", read(spark, sf_dir, "region"))
+    engine = _copy(spark, sf_dir, "region_copy", "region", "r_regionkey INT, r_name VARCHAR(40), PRIMARY KEY (r_regionkey)")
     engine.query("INSERT INTO region_copy VALUES (99, 'ATLANTIS')")
     return engine.query("SELECT * FROM region_copy")
 
@@ -155,9 +191,45 @@ def point_lookup(spark, sf_dir):
 
 @_registered("SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'NOWHERE' ELSE n_name END AS n_name, n_regionkey FROM nation")
 def update_by_key(spark, sf_dir):
-    return dml.updated(read(spark, sf_dir, "nation"), F.col("n_nationkey") == 3, {"n_name": F.lit("NOWHERE")})
+    engine = _copy(spark, sf_dir, "nation_updated", "nation", _NATION)
+    dml.update(engine.catalog, "nation_updated", F.col("n_nationkey") == 3, {"n_name": F.lit("NOWHERE")})
+    return engine.query("SELECT * FROM nation_updated")
 
 
 @_registered("SELECT * FROM nation WHERE NOT (n_nationkey = 3)")
 def delete_by_key(spark, sf_dir):
-    return dml.deleted(read(spark, sf_dir, "nation"), F.col("n_nationkey") == 3)
+    engine = _copy(spark, sf_dir, "nation_deleted", "nation", _NATION)
+    dml.delete(engine.catalog, "nation_deleted", F.col("n_nationkey") == 3)
+    return engine.query("SELECT * FROM nation_deleted")
+
+
+_WRITTEN = """SELECT ('0x' || substr(md5(v), 1, 12))::BIGINT AS h FROM (
+  SELECT CASE WHEN n_nationkey BETWEEN 5 AND 9 THEN NULL ELSE n_name END AS v FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'LEMURIA') WHERE v IS NOT NULL"""
+
+
+@_registered(_counters().replace(_HASHED, _WRITTEN))
+def statistics_after_writes(spark, sf_dir):
+    """The sketch that bulk insert, delete, update to NULL and INSERT leave of a column, as another engine finds it saved."""
+    engine = _copy(spark, sf_dir, "nation_written", "nation", _NATION)
+    dml.delete(engine.catalog, "nation_written", F.col("n_nationkey") == 3)
+    dml.update(engine.catalog, "nation_written", F.col("n_nationkey").between(5, 9), {"n_name": F.lit(None)})
+    engine.query("INSERT INTO nation_written VALUES (77, 'LEMURIA', 1)")
+    other = Engine(spark, "marlstone_tables").catalog
+    other.statistics("nation_written")
+    return other.sketch("nation_written", "n_name")
+
+
+@_registered("SELECT count(*) AS cardinality FROM nation WHERE n_nationkey <> 3")
+def cardinality_after_writes(spark, sf_dir):
+    engine = _copy(spark, sf_dir, "nation_counted", "nation", _NATION)
+    dml.delete(engine.catalog, "nation_counted", F.col("n_nationkey") == 3)
+    return spark.createDataFrame([(engine.catalog.statistics("nation_counted")["cardinality"],)], "cardinality long")
+
+
+@_registered("SELECT c_custkey, n_name FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND c_custkey < 700")
+def join_ordered_by_statistics(spark, sf_dir):
+    """All relations have statistics, so dynamic programming orders the joins."""
+    engine = Engine.over(spark, sf_dir, ["customer", "nation", "region"])
+    for name, key in (("customer", "c_custkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")):
+        engine.catalog.analyze(name, [key])
+    return engine.query("SELECT c_custkey, n_name FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND c_custkey < 700")
