@@ -33,7 +33,7 @@ MIN_LINES, MIN_WORDS, LONG_WORDS = 2, 12, 40
 def chunk_verdicts(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """k, h and the sorted array ``gone`` of (first, n) runs of lines to remove, for documents that lose any.
 
-    ``docs`` are (k: key, h: hash of the text, t: text), none of them null.
+    ``docs`` are (row: other columns, k: key, h: hash of the text, t: text), none of them null.
     """
     # Lines go on as hashes and word counts.  (key, text) names a document, so repeated rows are one.
     facts = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.cast("int").alias("pos"), F.conv(F.substring(F.md5(x), 1, 12), 16, 10).cast("long").alias("l"), F.regexp_count(x, F.lit("[^ \\t\\r]+")).alias("w")))
@@ -64,14 +64,18 @@ def chunk_verdicts(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     twice = checkpointed(able.groupBy("ch").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ch"))
     runs = able.join(twice, "ch", "left_semi").groupBy("k", "h").agg(F.collect_list(F.struct("first", "n", "size", "c", "whole")).alias("runs"))
     # Byte comparison: units meet on their bytes, and the least (key, place) owns each text.
-    met = docs.join(runs, ["k", "h"])
-    bodies = met.select("k", "h", F.explode("runs").alias("r"), F.split("t", "\n").alias("ls")).select("k", "h", "r.first", "r.n", "r.c", "r.whole", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.size")), "\n").alias("body"))
-    places = bodies.groupBy("k", "h", "first", "n", "c", "whole").agg(F.first("body").alias("body"))
-    # Grouped by the digest too, owners are dealt anew for the join, which is then a plain one: Spark splits a hot unit's places.
-    owner = places.groupBy(F.md5("body").alias("d"), "body").agg(F.min(F.struct("k", "h", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select("body", "o")
-    lost = places.join(owner, "body").where(F.struct("k", "h", "first") != F.col("o"))
+    # ``row`` is read too, so that this read of the texts and the one that removes lines need the same columns, and Spark
+    # exchanges the texts once for both.
+    met = docs.join(runs, ["k", "h"]).withColumn("row", F.xxhash64("row"))
+    bodies = met.select("row", "k", "h", F.explode("runs").alias("r"), F.split("t", "\n").alias("ls")).select("row", "k", "h", "r.first", "r.n", "r.c", "r.whole", F.array_join(F.slice("ls", F.col("r.first") + 1, F.col("r.size")), "\n").alias("body"))
+    places = bodies.groupBy("row", "k", "h", "first", "n", "c", "whole").agg(F.first("body").alias("body")).withColumn("d", F.sha2("body", 256))
+    # Bodies meet to be compared byte for byte; then digests stand for them.  A digest of two different bodies, should there ever be one, removes nothing.
+    equal = places.groupBy("d", "body").agg(F.min(F.struct("k", "h", "first")).alias("o"), F.count(F.lit(1)).alias("m"))
+    # Joined by the digest's reverse, owners are dealt anew for the join, which is then a plain one: Spark splits a hot unit's places.
+    owner = equal.groupBy("d").agg(F.min("o").alias("o"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("bodies")).where("m > 1 AND bodies = 1").select(F.reverse("d").alias("e"), "o")
+    lost = places.withColumn("e", F.reverse("d")).drop("body", "d").join(owner, "e").where(F.struct("k", "h", "first") != F.col("o"))
     # A chunk that goes takes its long lines along.
-    of = lambda whole: F.collect_list(F.when(F.col("whole") == whole, F.struct("first", "n")))
+    of = lambda whole: F.collect_set(F.when(F.col("whole") == whole, F.struct("first", "n")))
     by_chunk = lost.groupBy("k", "h", "c").agg(of(True).alias("all"), of(False).alias("some")).select("k", "h", F.when(F.size("all") > 0, F.col("all")).otherwise(F.col("some")).alias("runs"))
     return by_chunk.groupBy("k", "h").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("gone"))
 
@@ -94,7 +98,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lin
     judged = F.col("k").isNotNull() & F.col("t").isNotNull()
     # The same exchange of (key, text, hash) serves the byte comparison and the removal.
     some = rows.where(judged)
-    verdicts = chunk_verdicts(some.select("k", "h", "t"), min_lines, min_words, long_words)
+    verdicts = chunk_verdicts(some, min_lines, min_words, long_words)
     out = some.join(verdicts, ["k", "h"], "left").select("row", "t", "gone")
     out = out.union(rows.where(~judged).select("row", "t", F.lit(None).cast(out.schema["gone"].dataType).alias("gone")))
     ls = F.split("t", "\n")
