@@ -21,7 +21,8 @@ def corpus(spark, tmp_path_factory):
     near = prose(rng, 200).split()
     texts += [" ".join([*near[:i], "changed", *near[i + 1 :]]) for i in range(0, 60, 12)] + texts[:3]
     texts += [prose(rng, 300) + " " + items[2][1] + " " + prose(rng, 300), items[1][1], "12 34", "это совсем другой язык " * 9]
-    rows = [(i, t, None if i > 44 else "en" if i % 2 else "de", "s", len(t)) for i, t in enumerate(texts)]  # what is no language has no label + [(900, None, None, "s", None), (901, "", None, "s", 0), (None, prose(rng, 50), None, "s", 1)]
+    # What is no language has no label.
+    rows = [(i, t, None if i > 44 else "en" if i % 2 else "de", "s", len(t)) for i, t in enumerate(texts)] + [(900, None, None, "s", None), (901, "", None, "s", 0), (None, prose(rng, 50), None, "s", 1)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
     return base, rows, items, passage
