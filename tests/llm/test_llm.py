@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, contamination, exact, html, language, lines, nearjoin, packing, shards, shingles, urls
+from marlstone.llm import chat, components, contamination, exact, html, language, lines, nearjoin, packing, shards, shingles, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,6 +77,20 @@ def test_jaccard_join_in_differing_parts(spark, knobs):
     assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))} and roots[1::2] == list(range(0, len(texts), 2))
 
 
+@pytest.mark.parametrize("few", [components.EDGES, 40, 0])
+def test_connected_components(spark, few):
+    """A chain, stars and random edges: all by stars, all in one task, and begun by the ones and ended in the other."""
+    rng = random.Random(14)
+    edges = [(i, i + 1) for i in range(1000, 1030)] + [(2000, i) for i in range(2001, 2040)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + [(5, 5), (7, 3), (3, 7)]
+    root = {v: v for e in edges for v in e}
+    for a, b in edges:
+        a, b = root[a], root[b]
+        root = {v: min(a, b) if r in (a, b) else r for v, r in root.items()}
+    got = {r.v: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long"), few).collect()}
+    assert got == {v: r for v, r in root.items() if any(v in e and e[0] != e[1] for e in edges)}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long"), few).count() == 0
+
+
 def test_html():
     page = '<body><nav>menu</nav><div class="cookie-notice">x</div><article><h1>T &amp; t</h1><p><b>a\n b<br><p>c<script>var p="</p>"</script></p><section id="comments"><p>reader</p></section></article><footer>f</footer>'
     assert html.main_text(page) == "T & t\n\na b\n\nc"
