@@ -18,8 +18,10 @@ import hashlib
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Set
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,10 @@ from .urls import split_url
 MIN_PAGES, MIN_SHARE = 5, 0.2
 #: On hosts of more pages, the share falls with the root of their number, as sections and rotating notices are on few of many.
 FULL_SHARE_PAGES = 100
-#: Most hashes and hosts of a template table that is broadcast (8 bytes, and some 60); beyond, pages meet it in a sort-merge join.
+#: Most hashes and hosts of a template table that is broadcast (8 bytes, and some 200); beyond, pages are dealt to cells behind their host's templates.
 BROADCAST_TREES, BROADCAST_HOSTS = 1 << 20, 1 << 17
+#: Pages of a host that meet in one cell, and hashes a worker holds as sets.
+DEALT_PAGES, KNOWN_TREES = 20_000, 100_000
 
 #: Implied and stray ends reach over so many open elements at most (browsers nest no deeper than that).
 REACH = 512
@@ -176,12 +180,12 @@ def subtrees(page: str) -> tuple[int, list[int]]:
     return number(digest), sorted({number(d) for _, d in own})
 
 
-def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
+def main_text(page: str | None, templates: Set[int] = frozenset()) -> str:
     """The article's blocks, joined by blank lines."""
     return extracted(page, templates)[0]
 
 
-def extracted(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[str, int]:
+def extracted(page: str | None, templates: Set[int] = frozenset()) -> tuple[str, int]:
     """(main text, number of subtrees deleted as templates)."""
     root = parse(page or "")
     n_templates = 0
@@ -230,7 +234,7 @@ def extracted(page: str | None, templates: frozenset[int] = frozenset()) -> tupl
     return "\n\n".join(blocks), n_templates
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_trees: int = BROADCAST_TREES) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_trees: int = BROADCAST_TREES, dealt_pages: int = DEALT_PAGES) -> DataFrame:
     """key, url, text, n_chars and n_templates (subtrees deleted for recurring) of every page.
 
     Null html gives empty text.  Pages with a null or malformed url make up one
@@ -239,7 +243,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     any length are read whole, in time that grows with it; a null key is kept;
     other columns are left out, whatever their names.
     """
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("x"), split_url(F.col(url))[0].alias("host"))
 
     def hashed(batches):
@@ -247,28 +252,81 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             found = [subtrees(x or "") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["host", "page", "trees"])
 
-    seen = rows.select("host", "x").mapInArrow(hashed, "host string, page long, trees array<long>").groupBy("host", "page").agg(F.first("trees").alias("trees"))
-    parts = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "trees")).alias("tree")).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
+    seen = rows.select("host", "x").mapInArrow(hashed, "host string, page long, trees array<long>").groupBy("host", "page").agg(F.first("trees").alias("trees"), F.count(F.lit(1)).alias("copies"))
+    parts = seen.select("host", "copies", F.explode(F.concat(F.array(F.lit(None).cast("long")), "trees")).alias("tree")).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("pages"))
     # A null tree stands for the page itself, so that sizes of hosts come from the same aggregation.
-    hosts = parts.where("tree is null").select("host", F.col("n").alias("of"))
-    recurring = parts.where(F.col("tree").isNotNull() & (F.col("n") >= min_pages)).join(hosts, "host").where(F.col("n") >= min_share * F.least(F.col("of"), F.sqrt(F.col("of") * FULL_SHARE_PAGES)))
+    hosts = parts.where("tree is null").select("host", F.col("n").alias("of"), "pages")
+    many = parts.where(F.col("tree").isNotNull() & (F.col("n") >= min_pages)).select("host", "tree", "n")
     # At most (subtrees a page) / share hashes a host can reach the share: they grow with the root of its pages.
-    # Materialised: its size decides how pages meet it, and a sort-merge join with it is a plain one, where Spark splits a hot host's pages.
-    templates = checkpointed(recurring.groupBy("host").agg(F.collect_list("tree").alias("trees")))
+    # Materialised: its size decides how pages meet it.
+    templates = checkpointed(many.join(hosts, "host").where(F.col("n") >= min_share * F.least(F.col("of"), F.sqrt(F.col("of") * FULL_SHARE_PAGES))).select("host", "tree", "pages"))
+    kind = dict(pages.dtypes)
+    schema = f"k {kind[key]}, u string, text string, n_chars long, n_templates long"
+    size = templates.agg(F.count(F.lit(1)).alias("trees"), F.countDistinct("host").alias("hosts")).head()
+    if size.hosts <= BROADCAST_HOSTS and size.trees <= broadcast_trees:
+        out = rows.mapInArrow(_with_table(spark.sparkContext.broadcast(_by_host(templates.select("host", "tree").toArrow()))), schema)
+    else:
+        out = _dealt(rows, templates, dealt_pages).mapInArrow(_behind_templates, schema)
+    return out.select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars", "n_templates")
+
+
+def _by_host(table: pa.Table) -> dict[str, np.ndarray]:
+    """The hashes of each host, from rows (host, hash)."""
+    names, at = np.unique(table.column(0).to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(1, len(names)))
+    return dict(zip(names.tolist(), np.split(table.column(1).to_numpy()[order], ends), strict=True)) if len(names) else {}
+
+
+def _read(k: pa.Array, u: pa.Array, out: list[tuple[str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([k, u, pa.array([t for t, _ in out], pa.string()), pa.array([len(t) for t, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["k", "u", "text", "n_chars", "n_templates"])
+
+
+def _with_table(shared):
+    """Reads (k, u, x, host) with a broadcast table of templates."""
 
     def read(batches):
-        known: dict[tuple, frozenset] = {}
+        known: dict[str, frozenset] = {}
+        held = 0
         for b in batches:
             out = []
-            for x, trees in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                t = tuple(trees or ())
-                if t not in known:
-                    known = {t: frozenset(t)}
-                out.append(extracted(x, known[t]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([len(o[0]) for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["k", "u", "text", "n_chars", "n_templates"])
-
-    kind = dict(pages.dtypes)
-    size = templates.agg(F.count(F.lit(1)).alias("hosts"), F.sum(F.size("trees")).alias("trees")).head()
-    few = size.hosts <= BROADCAST_HOSTS and (size.trees or 0) <= broadcast_trees
-    joined = rows.join(templates.hint("broadcast" if few else "merge"), "host", "left").select("k", "u", "x", "trees")
-    return joined.mapInArrow(read, f"k {kind[key]}, u string, text string, n_chars long, n_templates long").select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars", "n_templates")
+            for x, host in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if host not in known:
+                    if held > KNOWN_TREES:
+                        known, held = {}, 0
+                    known[host] = frozenset(shared.value[host].tolist()) if host in shared.value else frozenset()
+                    held += len(known[host]) + 1
+                out.append(extracted(x, known[host]))
+            yield _read(b.column(0), b.column(1), out)
+
+    return read
+
+
+def _dealt(rows: DataFrame, templates: DataFrame, dealt_pages: int) -> DataFrame:
+    """(host, cell, tree, k, u, x): a host's pages are dealt to cells of some ``dealt_pages``, and stand behind its templates in each."""
+    cells = F.ceil(F.col("pages") / dealt_pages).alias("cells")
+    large = checkpointed(templates.where(F.col("pages") > dealt_pages).groupBy("host").agg(F.max("pages").alias("pages")).select("host", cells))
+    large = large.hint("broadcast" if large.count() <= BROADCAST_HOSTS else "merge")
+    # By place in the table, as copies of one page may be many.
+    placed = rows.withColumn("place", F.monotonically_increasing_id()).join(large, "host", "left")
+    placed = placed.select("host", F.pmod(F.xxhash64("place"), F.coalesce("cells", F.lit(1)).cast("long")).alias("cell"), F.lit(None).cast("long").alias("tree"), F.lit(1).alias("turn"), "k", "u", "x")
+    none = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "host"]
+    ahead = templates.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("pages") / dealt_pages) - 1)).alias("cell"), "tree", F.lit(0).alias("turn"), *none)
+    return ahead.unionByName(placed).repartition("host", "cell").sortWithinPartitions("host", "cell", "turn").drop("turn")
+
+
+def _behind_templates(batches):
+    """Reads what ``_dealt`` gives."""
+    cell, own = None, set()
+    for b in batches:
+        pages, out = [], []
+        for i, (host, n, tree, x) in enumerate(zip(*(b.column(c).to_pylist() for c in ("host", "cell", "tree", "x")), strict=True)):
+            if (host, n) != cell:
+                cell, own = (host, n), set()
+            if tree is None:
+                pages.append(i)
+                out.append(extracted(x, own))
+            else:
+                own.add(tree)
+        part = b.take(pa.array(pages, pa.int64()))
+        yield _read(part.column("k"), part.column("u"), out)

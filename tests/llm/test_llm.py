@@ -105,6 +105,18 @@ def test_html_templates(spark):
         assert got == {**{i: f"own {i}" for i in range(8)}, 9: "", 10: ""}
 
 
+def test_html_dealt_pages_read_alike(spark):
+    def page(i: int) -> str:
+        return f"<body><div>Site</div><div>Box {i % 2}</div><p>Text {i}</p></body>"
+
+    rows = [(i, f"http://h{i % 3}.org/{i}", page(i)) for i in range(90)] + [(7, "http://h1.org/7", page(7))] * 40 + [(None, None, None), (200, "http://h0.org/x", "")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    read = lambda **kw: sorted(map(str, html.extract(docs, **kw).collect()))
+    whole = read()
+    assert len(whole) == len(rows) and sum("n_templates=2" in r for r in whole) == 130
+    assert read(broadcast_trees=0) == read(broadcast_trees=0, dealt_pages=4) == whole
+
+
 def test_html_templates_of_a_large_host(spark):
     """A block on 50 of 400 pages is a section's; one on 30 is not."""
     block = lambda i: "<div><p>section words</p></div>" if i < 50 else "<div><p>copied words</p></div>" if i < 80 else ""
