@@ -254,9 +254,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     seen = rows.select("host", "x").mapInArrow(hashed, "host string, page long, trees array<long>").groupBy("host", "page").agg(F.first("trees").alias("trees"), F.count(F.lit(1)).alias("copies"))
     parts = seen.select("host", "copies", F.explode(F.concat(F.array(F.lit(None).cast("long")), "trees")).alias("tree")).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("pages"))
-    # A null tree stands for the page itself, so that sizes of hosts come from the same aggregation.
-    hosts = parts.where("tree is null").select("host", F.col("n").alias("of"), "pages")
-    many = parts.where(F.col("tree").isNotNull() & (F.col("n") >= min_pages)).select("host", "tree", "n")
+    # A null tree stands for the page itself, so that sizes of hosts come from the same aggregation.  Materialised, as both are read of it.
+    counted = checkpointed(parts.where(F.col("tree").isNull() | (F.col("n") >= min_pages)))
+    hosts = counted.where("tree is null").select("host", F.col("n").alias("of"), "pages")
+    many = counted.where("tree is not null").select("host", "tree", "n")
     # At most (subtrees a page) / share hashes a host can reach the share: they grow with the root of its pages.
     # Materialised: its size decides how pages meet it.
     templates = checkpointed(many.join(hosts, "host").where(F.col("n") >= min_share * F.least(F.col("of"), F.sqrt(F.col("of") * FULL_SHARE_PAGES))).select("host", "tree", "pages"))
