@@ -61,6 +61,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed and without its estimated size.
+
+    A checkpoint keeps the estimate of the plan behind it, and a join's is the
+    product of its sides'.  Where a loop joins what its last turn left, the
+    estimate's digits multiply each turn, until they fill the driver's memory.
+    """
+    spark = df.sparkSession
+    done = checkpointed(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.logicalPlan().rdd(), done.schema(), False), spark)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have, for columns that come and go inside an operator."""
     taken = {c.lower() for c in df.columns}

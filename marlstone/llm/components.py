@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import settled
 
 #: Edges of one partition, and most edges that a task joins up (some 100 bytes each).
 EDGES = 200_000
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, few_edges: int = EDGES) -> DataFrame:
     splits when skewed; minima are combined before they are shuffled.
     """
     hi, lo = F.greatest("u", "v"), F.least("u", "v")
-    now = checkpointed(edges.where("u <> v").select(hi.alias("u"), lo.alias("v")).distinct())
+    now = settled(edges.where("u <> v").select(hi.alias("u"), lo.alias("v")).distinct())
     mark = _mark(now)
     while mark[0] > few_edges:
         few = partitions_for(mark[0])  # few edges don't need all partitions, nor a file in each
@@ -63,7 +63,7 @@ def connected_components(edges: DataFrame, few_edges: int = EDGES) -> DataFrame:
         # Small star: its smaller neighbours, and it itself, move to the least of them.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(few).distinct()
-        now = checkpointed(small.coalesce(few))
+        now = settled(small.coalesce(few))
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, constants, small_batches, utf8
+from .common import constants, settled, small_batches, utf8
 from .components import connected_components, partitions_for
 from .shingles import mix, shingle_sets
 
@@ -462,14 +462,14 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int, dealt: in
     family is finished when all its classes outside its largest component have
     been pivots; then every pair of different components has been compared.
     """
-    members = checkpointed(members.groupBy("root", "v").agg(F.first("n").alias("n"), F.first("f").alias("f")))  # a representative's rows may repeat
+    members = settled(members.groupBy("root", "v").agg(F.first("n").alias("n"), F.first("f").alias("f")))  # a representative's rows may repeat
     names = members.select("root", "v", "n")
     size = names.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / dealt).alias("cells"))
     few = partitions_for(names.count())  # tables of one short row a class need few partitions
-    cells = checkpointed(size.coalesce(few))
+    cells = settled(size.coalesce(few))
     # Written again, as the sets of unfinished families are read in each round.
     rows = members.join(F.broadcast(cells) if cells.count() < 1 << 16 else cells, "root").select("root", F.pmod(F.xxhash64("v"), "cells").alias("salt"), F.lit(MEMBER).alias("kind"), "v", "f")
-    names = checkpointed(names.coalesce(few))
+    names = settled(names.coalesce(few))
     comps = names.select("v", F.col("v").alias("comp"))
     tried, turn = None, 0
     while True:
@@ -478,14 +478,14 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int, dealt: in
             now = names.join(comps, "v")
             sizes = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("m")).coalesce(few)
             largest = sizes.groupBy("root").agg(F.max(F.struct("m", "comp")).alias("top")).select("root", F.col("top.comp").alias("top"))
-            rest = checkpointed(now.join(largest, "root").where("comp <> top").join(tried, "v", "left_anti").select("root", "v", "n").coalesce(few))
+            rest = settled(now.join(largest, "root").where("comp <> top").join(tried, "v", "left_anti").select("root", "v", "n").coalesce(few))
             if rest.isEmpty():
                 return comps
         ticket = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         wanted = F.greatest(F.lit(1), F.least(F.lit(pivots if turn else min(FIRST, pivots)), F.floor(F.lit(pivot_bytes / 8) / F.max("n"))))
         left = rest.groupBy("root").agg(F.count(F.lit(1)).alias("left"), F.min_by("v", ticket).alias("first"), wanted.alias("wanted"))
         drawn = (F.col("v") == F.col("first")) | (ticket * F.col("left") <= F.col("wanted"))
-        picked = checkpointed(rest.join(left, "root").where(drawn).select("root", "v").coalesce(few))
+        picked = settled(rest.join(left, "root").where(drawn).select("root", "v").coalesce(few))
         places = picked.join(cells, "root").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("salt"))
         dealt_out = members.join(places, "v").select("root", "salt", F.lit(PIVOT).alias("kind"), "v", "f")
         # A finished family has no pivots, so its sets stay where they are.
@@ -493,8 +493,8 @@ def _large_families(members: DataFrame, pivots: int, pivot_bytes: int, dealt: in
         links = dealt_out.union(open_).repartition("root", "salt").sortWithinPartitions("root", "salt", "kind").mapInArrow(_probe, "u long, v long").where("u <> v")
         ends = links.join(comps.select(F.col("v").alias("u"), F.col("comp").alias("a")), "u").join(comps.select("v", F.col("comp").alias("b")), "v")
         joined = connected_components(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        comps = checkpointed(comps.join(joined.select(F.col("v").alias("comp"), "root"), "comp", "left").select("v", F.coalesce("root", "comp").alias("comp")).coalesce(few))
-        tried = picked.select("v") if tried is None else checkpointed(tried.union(picked.select("v")).coalesce(few))
+        comps = settled(comps.join(joined.select(F.col("v").alias("comp"), "root"), "comp", "left").select("v", F.coalesce("root", "comp").alias("comp")).coalesce(few))
+        tried = picked.select("v") if tried is None else settled(tried.union(picked.select("v")).coalesce(few))
         turn += 1
 
 
@@ -508,19 +508,19 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold:
     whatever their names.
     """
     small_batches(docs.sparkSession)
-    sets = checkpointed(_sets(docs, key, text))
+    sets = settled(_sets(docs, key, text))
     own = sets.where("k is not null")
-    met = checkpointed(_candidates(_signatures(docs.where(F.col(key).isNotNull()), text), cold))
+    met = settled(_candidates(_signatures(docs.where(F.col(key).isNotNull()), text), cold))
     classes = own.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("rep"))
-    fams = checkpointed(families(own, met).join(classes.groupBy(F.col("h1").alias("v")).agg(F.min("rep").alias("rep")), "v"))
+    fams = settled(families(own, met).join(classes.groupBy(F.col("h1").alias("v")).agg(F.min("rep").alias("rep")), "v"))
     # Families are told apart by size before their sets are read, so that no set moves for it.
-    wide = checkpointed(fams.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > family).select("root", F.lit(True).alias("wide")))
+    wide = settled(fams.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > family).select("root", F.lit(True).alias("wide")))
     chosen = fams.join(wide, "root", "left").select("root", "v", "rep", F.coalesce("wide", F.lit(False)).alias("wide"))
-    members = checkpointed(_members(docs, key, text, chosen))
+    members = settled(_members(docs, key, text, chosen))
     comps = _small_families(members.where("not wide").drop("wide"))
     if not wide.isEmpty():
         comps = comps.union(_large_families(members.where("wide").drop("wide"), pivots, pivot_bytes, dealt))
-    comps = checkpointed(comps)
+    comps = settled(comps)
     named = comps.join(fams.select("v", "rep"), "v")
     least = named.groupBy("comp").agg(F.min("rep").alias("component"))
     by_class = comps.join(least, "comp").select(F.col("v").alias("h1"), "component")

@@ -54,6 +54,25 @@ def test_jaccard_join(spark, knobs):
     assert nearjoin.jaccard_join(docs(spark, [])).count() == 0
 
 
+def large_families(rng):
+    """Three chains of near copies, of which the ends have nothing in common, and each text's neighbours."""
+    texts = []
+    for _ in range(3):
+        words = prose(rng, 60).split(" ")
+        for i in range(40):
+            words[(i * 3) % 60] = f"n{rng.randrange(9999)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_jaccard_join_of_large_families(spark):
+    """Many rounds of pivots, whose plans' estimated sizes once filled the driver's memory with digits."""
+    texts = large_families(random.Random(17))
+    sizes, roots = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nearjoin.jaccard_join(docs(spark, texts), cold=2, family=2, pivots=3, dealt=8).collect()}
+    assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("knobs", [{}, {"cold": 1}])
 def test_jaccard_join_in_differing_parts(spark, knobs):
     """Linked sets whose shared shingles all lie in parts in which they differ."""
