@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import constants, settled, small_batches, utf8
-from .components import connected_components, partitions_for
+from .components import EDGES, connected_components, joined_up, partitions_for
 from .shingles import mix, shingle_sets
 
 #: Most classes of a signature whose pairs are all candidates; most classes of a family that one task compares.
@@ -47,6 +47,8 @@ COLD, FAMILY = 24, 200
 GATHER = 1 << 20
 #: Pivots of a family in its first and in any later round, bytes of their sets, and classes of a family that one task compares with them.
 FIRST, PIVOTS, PIVOT_BYTES, DEALT = 64, 2048, 16 << 20, 2048
+#: Most classes of large families whose links of a round one task joins up.
+TOGETHER = EDGES // 4
 
 #: Second-level cells of a part; signatures are the subsets that leave out one.
 CELLS = 3
@@ -296,35 +298,33 @@ def _numbers(spark: SparkSession) -> DataFrame:
 
 
 def families(sets: DataFrame, met: DataFrame) -> DataFrame:
-    """(v: class, root: family) for all classes that may be linked to another."""
-    spark = sets.sparkSession
-    numbers = F.broadcast(_numbers(spark))  # a fixed table
-    classes = sets.where("n > 0").groupBy(F.col("h1").alias("a")).agg(F.first("n").alias("n"), F.first("e0").alias("e0"), F.first("e1").alias("e1"))
-    wide = met.where("kind = 1")
-    shared = wide.groupBy("a", "inst").agg(F.count(F.lit(1)).alias("wide"))
-    # Parts of (class, instance) that prove nothing: weak or with widely shared signatures.
-    pairs = met.where("kind = 0").groupBy("a", "b", "na", "nb", "inst").agg(F.sum("c").alias("c")).join(numbers, "inst")
-    for side in ("a", "b"):
-        info = classes.select(F.col("a").alias(side), F.col("e0").alias(f"e0{side}"), F.col("e1").alias(f"e1{side}"))
-        more = shared.select(F.col("a").alias(side), "inst", F.col("wide").alias(f"w{side}"))
-        pairs = pairs.join(info, side).join(more, [side, "inst"], "left")
-        own = F.when(F.col(f"n{side}") <= F.col("high"), F.col(f"e0{side}")).otherwise(F.col(f"e1{side}"))
-        pairs = pairs.withColumn(f"weak{side}", own + F.coalesce(F.col(f"w{side}"), F.lit(0)))
-    due = F.col("parts") - F.floor((F.col("na") + F.col("nb")) / 18) - F.least("weaka", "weakb")
-    strong = pairs.where(F.col("c") >= due).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    """(v: class, root: family, rep: least key of the class) for all classes that may be linked to another."""
+    numbers = F.broadcast(_numbers(sets.sparkSession))  # a fixed table
+    wide = met.where("kind = 1").join(numbers, "inst")
+    within = F.col("na") <= F.col("high")  # the instance is that of the class's own band, else the lower one's
+    none = F.lit(0).cast("long")
+    # Per class the parts of its two instances that prove nothing: weak ones and those with widely shared signatures.
+    counted = sets.where("n > 0").select(F.col("h1").alias("v"), F.col("k").alias("rep"), "e0", "e1", none.alias("w0"), none.alias("w1")).union(
+        wide.where(F.col("inst") != DIRECT).select("a", F.lit(None).cast("long"), none, none, within.cast("long"), (~within).cast("long"))
+    )
+    info = settled(counted.groupBy("v").agg(F.min("rep").alias("rep"), (F.max("e0") + F.sum("w0")).alias("p0"), (F.max("e1") + F.sum("w1")).alias("p1")))
+    weak = info.select("v", "p0", "p1")
+    # A pair is looked up from both its sides and put together again, which takes one join.
+    pairs = met.where("kind = 0")
+    both = pairs.withColumn("side", F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("na").alias("m")), F.struct(F.col("b").alias("v"), F.col("nb").alias("m")))))
+    both = both.select("a", "b", "na", "nb", "inst", "c", "side.v", "side.m").join(numbers, "inst").join(weak, "v")
+    proves = F.when(F.col("m") <= F.col("high"), F.col("p0")).otherwise(F.col("p1"))
+    found = both.groupBy("a", "b", "na", "nb", "inst", "parts").agg((F.sum("c") / 2).alias("c"), F.min(proves).alias("weak"))
+    strong = found.where(F.col("c") >= F.col("parts") - F.floor((F.col("na") + F.col("nb")) / 18) - F.col("weak")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     # Classes whose weak parts and widely shared signatures could be all that they have in common with a linked one.
-    at_risk = shared.join(classes, "a").join(numbers, "inst")
-    inside = F.col("n") <= F.col("high")
-    partner = F.when(inside, F.floor(F.col("n") * 5 / 4)).otherwise(F.col("high"))
-    weak = F.when(inside, F.col("e0")).otherwise(F.col("e1")) + F.col("wide")
-    at_risk = at_risk.where(F.col("parts") - F.floor((F.col("n") + partner) / 18) <= weak).select("a", "inst")
-    risky = wide.join(at_risk, ["a", "inst"]).select("a", "s")
+    partner = F.when(within, F.floor(F.col("na") * 5 / 4)).otherwise(F.col("high"))
+    due = F.col("parts") - F.floor((F.col("na") + partner) / 18)
+    risky = wide.join(weak.withColumnRenamed("v", "a"), "a").where(due <= F.when(within, F.col("p0")).otherwise(F.col("p1"))).select("a", "s")
     least = risky.groupBy("s").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("g")).where("g > 1").select("s", "m")
     # A class is tied to the least of its groups' least classes, and these among each other: an edge a class, not one a signature.
-    stars = risky.join(least, "s").select("a", "m").distinct()
-    tied = stars.groupBy("a").agg(F.min("m").alias("v"))
-    ties = stars.join(tied, "a").select(F.col("m").alias("u"), "v").distinct().union(tied.select(F.col("a").alias("u"), "v")).where("u <> v")
-    return connected_components(strong.union(ties))
+    tied = risky.join(least, "s").groupBy("a").agg(F.min("m").alias("v"), F.collect_set("m").alias("ms"))
+    ties = tied.select(F.explode(F.concat("ms", F.array("a"))).alias("u"), "v").where("u <> v")
+    return connected_components(strong.union(ties)).join(info.select("v", "rep"), "v")
 
 
 def _find(root: list[int], x: int) -> int:
@@ -365,7 +365,7 @@ def _compare(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _members(docs: DataFrame, key: str, text: str, chosen: DataFrame) -> DataFrame:
-    """(root, v, n, f: sorted hashes, wide) of the classes in ``chosen`` (v, root, rep, wide), read again from their representatives' texts."""
+    """(root, v, n, f: sorted hashes, size, rep) of the classes in ``chosen`` (v, root, rep, size), read again from their representatives' texts."""
 
     def read(batches):
         for b in batches:
@@ -376,36 +376,41 @@ def _members(docs: DataFrame, key: str, text: str, chosen: DataFrame) -> DataFra
                     sizes.append(len(u))
                     bodies.append(u.tobytes())
             part = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), part.column(3)], names=["root", "v", "n", "f", "wide"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), part.column(3), part.column(4)], names=["root", "v", "n", "f", "size", "rep"])
 
-    rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(chosen, "rep").select("root", "v", "t", "wide")
-    return rows.mapInArrow(read, "root long, v long, n long, f binary, wide boolean")
+    rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(chosen, "rep").select("root", "v", "t", "size", "rep")
+    return rows.mapInArrow(read, "root long, v long, n long, f binary, size long, rep long")
 
 
 def _small_families(members: DataFrame) -> DataFrame:
-    """(v, comp) of families that a task compares whole."""
+    """(v, component: least key) of families that a task compares whole."""
 
     def solve(batches):
-        root, vs, sets = None, [], []
+        root, vs, sets, reps = None, [], [], []
 
         def done():
             own = dict(zip(vs, sets, strict=True))  # repeated rows of a representative
+            rep = dict(zip(vs, reps, strict=True))
             names = sorted(own)
             comps = _union(len(names), _compare([own[v] for v in names]))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([names[c] for c in comps], pa.int64())], names=["v", "comp"])
+            least: dict[int, int] = {}
+            for c, v in zip(comps, names, strict=True):
+                least[c] = min(rep[v], least.get(c, rep[v]))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([least[c] for c in comps], pa.int64())], names=["v", "component"])
 
         for b in batches:
-            for r, v, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for r, v, f, k in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if r != root:
                     if vs:
                         yield done()
-                    root, vs, sets = r, [], []
+                    root, vs, sets, reps = r, [], [], []
                 vs.append(v)
                 sets.append(np.frombuffer(f, np.uint64))
+                reps.append(k)
         if vs:
             yield done()
 
-    return members.repartition("root").sortWithinPartitions("root").mapInArrow(solve, "v long, comp long")
+    return members.select("root", "v", "f", "rep").repartition("root").sortWithinPartitions("root").mapInArrow(solve, "v long, component long")
 
 
 def _probe(batches):
@@ -454,48 +459,51 @@ def _probe(batches):
         yield t
 
 
-def _large_families(members: DataFrame, pivots: int, pivot_bytes: int, dealt: int) -> DataFrame:
-    """(v, comp) of families of any size, by rounds of pivots.
+def _large_families(members: DataFrame, classes: int, pivots: int, pivot_bytes: int, dealt: int) -> DataFrame:
+    """(v, component: least key) of families of any size, ``classes`` in all, by rounds of pivots.
 
     A round compares some classes of each unfinished family with all its
     classes: these are dealt to cells, and each cell gets the pivots' sets.  A
     family is finished when all its classes outside its largest component have
     been pivots; then every pair of different components has been compared.
     """
-    members = settled(members.groupBy("root", "v").agg(F.first("n").alias("n"), F.first("f").alias("f")))  # a representative's rows may repeat
-    names = members.select("root", "v", "n")
-    size = names.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / dealt).alias("cells"))
-    few = partitions_for(names.count())  # tables of one short row a class need few partitions
-    cells = settled(size.coalesce(few))
-    # Written again, as the sets of unfinished families are read in each round.
-    rows = members.join(F.broadcast(cells) if cells.count() < 1 << 16 else cells, "root").select("root", F.pmod(F.xxhash64("v"), "cells").alias("salt"), F.lit(MEMBER).alias("kind"), "v", "f")
-    names = settled(names.coalesce(few))
-    comps = names.select("v", F.col("v").alias("comp"))
-    tried, turn = None, 0
+    once = members.groupBy("root", "v").agg(*(F.first(c).alias(c) for c in ("n", "f", "size", "rep")))  # a representative's rows may repeat
+    cells = F.ceil(F.col("size") / dealt)
+    rows = settled(once.select("root", F.pmod(F.xxhash64("v"), cells).alias("salt"), "v", "f", "n", cells.alias("cells"), "rep"))
+    few = partitions_for(classes)  # tables of one short row a class need few partitions
+    state = settled(rows.select("root", "v", "n", "cells", "rep", F.col("v").alias("comp"), F.lit(False).alias("tried")).coalesce(few))
+    turn = 0
     while True:
-        rest = names
-        if tried is not None:
-            now = names.join(comps, "v")
-            sizes = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("m")).coalesce(few)
+        rest = state
+        if turn:
+            sizes = state.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("m")).coalesce(few)
             largest = sizes.groupBy("root").agg(F.max(F.struct("m", "comp")).alias("top")).select("root", F.col("top.comp").alias("top"))
-            rest = settled(now.join(largest, "root").where("comp <> top").join(tried, "v", "left_anti").select("root", "v", "n").coalesce(few))
+            rest = settled(state.where("not tried").join(largest, "root").where("comp <> top").select("root", "v", "n", "cells").coalesce(few))
             if rest.isEmpty():
-                return comps
+                break
         ticket = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         wanted = F.greatest(F.lit(1), F.least(F.lit(pivots if turn else min(FIRST, pivots)), F.floor(F.lit(pivot_bytes / 8) / F.max("n"))))
         left = rest.groupBy("root").agg(F.count(F.lit(1)).alias("left"), F.min_by("v", ticket).alias("first"), wanted.alias("wanted"))
         drawn = (F.col("v") == F.col("first")) | (ticket * F.col("left") <= F.col("wanted"))
-        picked = settled(rest.join(left, "root").where(drawn).select("root", "v").coalesce(few))
-        places = picked.join(cells, "root").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("salt"))
-        dealt_out = members.join(places, "v").select("root", "salt", F.lit(PIVOT).alias("kind"), "v", "f")
+        picked = settled(rest.join(left, "root").where(drawn).select("root", "v", "cells").coalesce(few))
+        places = picked.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("place"))
+        dealt_out = rows.join(places, "v").select("root", F.col("place").alias("salt"), F.lit(PIVOT).alias("kind"), "v", "f")
         # A finished family has no pivots, so its sets stay where they are.
-        open_ = rows.join(picked.select("root").distinct(), "root", "left_semi")
+        open_ = rows.join(picked.select("root").distinct(), "root", "left_semi").select("root", "salt", F.lit(MEMBER).alias("kind"), "v", "f")
         links = dealt_out.union(open_).repartition("root", "salt").sortWithinPartitions("root", "salt", "kind").mapInArrow(_probe, "u long, v long").where("u <> v")
-        ends = links.join(comps.select(F.col("v").alias("u"), F.col("comp").alias("a")), "u").join(comps.select("v", F.col("comp").alias("b")), "v")
-        joined = connected_components(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        comps = settled(comps.join(joined.select(F.col("v").alias("comp"), "root"), "comp", "left").select("v", F.coalesce("root", "comp").alias("comp")).coalesce(few))
-        tried = picked.select("v") if tried is None else settled(tried.union(picked.select("v")).coalesce(few))
+        if classes <= TOGETHER:
+            # A round has a link a class and the pivots' at most, so these and what was known are joined up in one task.
+            joined = joined_up(settled(links).union(state.select("v", "comp"))).select("v", F.col("root").alias("to"))
+        else:
+            comps = state.select("v", "comp")
+            ends = links.join(comps.select(F.col("v").alias("u"), F.col("comp").alias("a")), "u").join(comps.withColumnRenamed("comp", "b"), "v")
+            joined = connected_components(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+            joined = comps.join(joined.select(F.col("v").alias("comp"), F.col("root").alias("to")), "comp").select("v", "to")
+        now = state.join(joined, "v", "left").join(picked.select("v", F.lit(True).alias("now")), "v", "left")
+        state = settled(now.select("root", "v", "n", "cells", "rep", F.coalesce("to", "comp").alias("comp"), (F.col("tried") | F.col("now").isNotNull()).alias("tried")).coalesce(few))
         turn += 1
+    least = state.groupBy("comp").agg(F.min("rep").alias("component")).coalesce(few)
+    return state.join(least, "comp").select("v", "component")
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold: int = COLD, family: int = FAMILY, pivots: int = PIVOTS, pivot_bytes: int = PIVOT_BYTES, dealt: int = DEALT) -> DataFrame:
@@ -512,18 +520,16 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", cold:
     own = sets.where("k is not null")
     met = settled(_candidates(_signatures(docs.where(F.col(key).isNotNull()), text), cold))
     classes = own.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("rep"))
-    fams = settled(families(own, met).join(classes.groupBy(F.col("h1").alias("v")).agg(F.min("rep").alias("rep")), "v"))
+    fams = settled(families(own, met))
     # Families are told apart by size before their sets are read, so that no set moves for it.
-    wide = settled(fams.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > family).select("root", F.lit(True).alias("wide")))
-    chosen = fams.join(wide, "root", "left").select("root", "v", "rep", F.coalesce("wide", F.lit(False)).alias("wide"))
+    wide = settled(fams.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > family))
+    chosen = fams.join(wide, "root", "left").select("root", "v", "rep", F.coalesce("size", F.lit(0)).alias("size"))
     members = settled(_members(docs, key, text, chosen))
-    comps = _small_families(members.where("not wide").drop("wide"))
-    if not wide.isEmpty():
-        comps = comps.union(_large_families(members.where("wide").drop("wide"), pivots, pivot_bytes, dealt))
-    comps = settled(comps)
-    named = comps.join(fams.select("v", "rep"), "v")
-    least = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    by_class = comps.join(least, "comp").select(F.col("v").alias("h1"), "component")
+    comps = _small_families(members.where("size = 0"))
+    in_wide = wide.agg(F.sum("size").alias("n")).head().n
+    if in_wide:
+        comps = comps.union(_large_families(members.where("size > 0"), in_wide, pivots, pivot_bytes, dealt))
+    by_class = settled(comps).withColumnRenamed("v", "h1")
     placed = classes.join(by_class, "h1", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     # Texts without words have null hashes; joined, they would all meet in one task.
     some = sets.where("n > 0").join(placed, ["h1", "h2"], "left").select("k", "n", "component")

@@ -65,14 +65,32 @@ def large_families(rng):
     return texts
 
 
-def test_jaccard_join_of_large_families(spark):
-    """Many rounds of pivots, whose plans' estimated sizes once filled the driver's memory with digits."""
+@pytest.mark.parametrize("together", [nearjoin.TOGETHER, 0])
+def test_jaccard_join_of_large_families(spark, monkeypatch, together):
+    """Rounds of pivots, joined up in one task and by the edges between components."""
+    monkeypatch.setattr(nearjoin, "TOGETHER", together)
     texts = large_families(random.Random(17))
     sizes, roots = brute_components(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nearjoin.jaccard_join(docs(spark, texts), cold=2, family=2, pivots=3, dealt=8).collect()}
     assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))}
 
 
+def test_jaccard_join_asks_little_of_the_driver(spark):
+    """The driver's memory follows the stages that it plans and the tasks that it starts, which many partitions multiply."""
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("few stages", "")
+    try:
+        nearjoin.jaccard_join(docs(spark, large_families(random.Random(17))), family=20, pivots=200).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few stages") for s in tracker.getJobInfo(j).stageIds}
+    ran = [i for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
+    assert len(ran) < 78 and sum(i.numCompletedTasks for i in ran) < 300
+
+
 @pytest.mark.parametrize("knobs", [{}, {"cold": 1}])
 def test_jaccard_join_in_differing_parts(spark, knobs):
     """Linked sets whose shared shingles all lie in parts in which they differ."""
