@@ -9,6 +9,7 @@ from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import fanout
 from .binder import BoundSelect, Column, Predicate
 from .joinorder import LIMIT, Tree, best_tree
 from .parser import Bool
@@ -43,8 +44,11 @@ def to_dataframe(q: BoundSelect, table: Callable[[str], DataFrame], sizes: Calla
             df = df.where(condition(x))
         base[binding] = df
     pairs = [(p.left.binding, p.right.binding) for p in q.joins]
-    estimate = sizes(q) if sizes and 1 < len(base) <= LIMIT else None
-    if estimate:
+    wide = fanout.wide(base, q.joins)
+    estimate = sizes(q) if sizes and not wide and 1 < len(base) <= LIMIT else None
+    if wide:
+        df = _deal(q, base, wide)
+    elif estimate:
         df, _ = _emit(best_tree(estimate, pairs), base, q.joins)
     else:
         df, done, left = None, set(), list(base)
@@ -63,6 +67,25 @@ def _on(joins: list[Predicate], a: set[str], b: set[str]) -> SparkColumn:
     return reduce(lambda x, y: x & y, both)
 
 
+def _deal(q: BoundSelect, base: dict[str, DataFrame], wide: dict[frozenset[str], fanout.Pairs]) -> DataFrame:
+    """Joins of which some multiply rows: these come last, over rows that are dealt out before the first of them."""
+    names = fanout.order(list(base), q.joins, wide)
+    needed = {b: dict.fromkeys(c.name for c in [*q.output, *(c for p in q.joins for c in p.columns())] if c.binding == b) for b in names}
+    df, columns, n = base[names[0]], {names[0]: [_quoted(names[0], c) for c in needed[names[0]]]}, fanout.tasks(names, wide)
+    for b in names[1:]:
+        done = set(columns)
+        on = _on(q.joins, done, {b})
+        if own := [p for pair, p in wide.items() if b in pair and pair <= done | {b}]:
+            keys = {c.name for p in q.joins for c in p.columns() if c.binding == b and {p.left.binding, p.right.binding} <= done | {b}}
+            stream = [c for x in columns.values() for c in x]
+            df = fanout.multiply(df, base[b], b, sorted(keys), [c for c in needed[b] if c not in keys], on, stream, min(own, key=lambda p: p.rows), n)
+            columns[b], n = [F.col(f"`{b}`")], 0
+        else:
+            df = df.join(base[b], on)
+            columns[b] = [_quoted(b, c) for c in needed[b]]
+    return df
+
+
 def _emit(tree: Tree, base: dict[str, DataFrame], joins: list[Predicate]) -> tuple[DataFrame, set[str]]:
     if tree.left is None:
         return base[tree.order[0]], set(tree.relations)

@@ -7,6 +7,7 @@ from marlstone import errors as E
 from marlstone.engine import Engine
 from marlstone.functions import estimate, hll, sample
 from marlstone.operators import dml, writers
+from marlstone.plans import fanout
 from marlstone.plans.joinorder import best_tree
 from marlstone.plans.parser import Bool, Comparison, CreateTable, Insert, Literal, Name, Select, parse
 from marlstone.types import SqlType, convert
@@ -119,6 +120,37 @@ def test_joins_follow_statistics(spark):
     assert rows(df) == plain and len(plain) == 1000 and "strategy=shuffle_hash" in plan
 
 
+@pytest.mark.parametrize("third", ["", ", n"])
+def test_rows_that_joins_multiply_are_dealt_out(spark, third):
+    """Two tables of one split each make 40 million pairs of five keys: no task makes most of them."""
+    e = Engine(spark)
+    e.catalog.register("l", spark.range(20_000).selectExpr("id AS a", "int(id % 5) AS k").coalesce(1))
+    e.catalog.register("r", spark.range(10_000).selectExpr("id AS b", "id % 5 AS m").coalesce(1))
+    e.catalog.register("n", spark.range(5).selectExpr("int(id) AS j", "concat('n', id) AS name"))
+    df = e.query(f"SELECT a, b{', name' if third else ''} FROM l, r{third} WHERE k = m" + (" AND m = j AND k = j" if third else ""))
+    found = df.groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum("a"), F.sum("b")).collect()
+    assert [sum(x[i] for x in found) for i in (1, 2, 3)] == [20_000 * 2_000, 2_000 * sum(range(20_000)), 4_000 * sum(range(10_000))]
+    assert max(x[1] for x in found) < 0.4 * 20_000 * 2_000
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_ROWS": 2, "SLICE_ROWS": 5}, {"SHARED_BYTES": -1, "BLOCK_ROWS": 4, "SLICE_ROWS": 12}])
+def test_joins_that_multiply_rows_keep_all_matches(spark, monkeypatch, limits):
+    e = Engine(spark)
+    e.catalog.register("l", spark.range(60).selectExpr("id AS a", "if(id % 7 = 0, NULL, int(id % 3)) AS k", "concat('v', id % 4) AS v"))
+    e.catalog.register("r", spark.range(90).selectExpr("if(id % 5 = 0, NULL, id % 2) AS b", "if(id % 11 = 0, NULL, id % 3) AS m", "concat('v', id % 8) AS w", "id AS c"))
+    e.catalog.register("n", spark.range(3).selectExpr("id AS j", "concat('n', id) AS name"))
+    queries = [
+        "SELECT a FROM r, l WHERE k = m", "SELECT * FROM n, r, l WHERE k = m AND m = j AND k = j AND c < 70", "SELECT a, c FROM l, r WHERE k = m AND v = w",
+        "SELECT x.b, y.c, name FROM r x, r y, n WHERE x.m = y.m AND y.m = j AND x.c < 20",
+    ]
+    plain = [rows(e.query(q)) for q in queries]
+    for name, value in {"SMALL_BYTES": -1, "FACTOR": 0, "DEALT_ROWS": 9, **limits}.items():
+        monkeypatch.setattr(fanout, name, value)
+    for q, want in zip(queries, plain, strict=True):
+        df = e.query(q)
+        assert rows(df) == want and "posexplode" in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_inline_and_shell(spark, monkeypatch, capsys):
     e = Engine(spark)
     e.values("v", [("a", SqlType("SMALLINT")), ("b", SqlType("VARCHAR", 3))], [(1, "x"), (2, None)])
