@@ -60,15 +60,17 @@ def wide(base: dict[str, DataFrame], joins: list[Predicate]) -> dict[frozenset[s
 
 def _count(base: dict[str, DataFrame], pair: list[str], joins: list[Predicate]) -> Pairs:
     """One pass over both relations' keys, which shuffles a count a bucket at most from each task."""
-    none = F.lit(0).cast("bigint")
+    none, n = F.lit(0).cast("bigint"), F.count(F.lit(1))
+    keys = {b: [c.name for p in joins for c in p.columns() if c.binding == b] for b in pair}
+    own = {b: base[b].dropna(subset=list(dict.fromkeys(keys[b]))).select(*[F.col(f"`{b}`.`{c}`").alias(f"k{i}") for i, c in enumerate(keys[b])]) for b in pair}
+    same = own[pair[0]].sameSemantics(own[pair[1]])  # a table joined with itself is counted once
     sides = []
-    for b, counts in zip(pair, ((F.count(F.lit(1)), none), (none, F.count(F.lit(1)))), strict=True):
-        kinds, keys = dict(base[b].dtypes), [c.name for p in joins for c in p.columns() if c.binding == b]
-        columns = [F.col(f"`{b}`.`{c}`") if kinds[c] == "string" else F.col(f"`{b}`.`{c}`").cast("bigint") for c in keys]
-        df = base[b].dropna(subset=list(dict.fromkeys(keys))).groupBy(F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).alias("h"))
-        sides.append(df.agg(*[n.alias(x) for x, n in zip("xy", counts, strict=True)]))
+    for b, counts in zip(pair, ((n, n if same else none), (none, n)), strict=True):
+        columns = [F.col(c) if kind == "string" else F.col(c).cast("bigint") for c, kind in own[b].dtypes]
+        df = own[b].groupBy(F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).alias("h"))
+        sides.append(df.agg(*[m.alias(x) for x, m in zip("xy", counts, strict=True)]))
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    both = sides[0].unionAll(sides[1]).groupBy("h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    both = (sides[0] if same else sides[0].unionAll(sides[1])).groupBy("h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     found = both.agg(F.sum(x * y), F.max(x * y), F.sum("x"), F.sum("y"), F.max("x"), F.max("y"), F.count_if(x > 0), F.count_if(y > 0)).head()
     met, most, n, m, *rest = (v or 0 for v in found)
     rows = max(0.0, (met - n * m / BUCKETS) * BUCKETS / (BUCKETS - 1))  # less what keys make that share a bucket by chance
